@@ -10,14 +10,32 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.feistel import materialise
 from ledgerline.llm.packing import pack
+from ledgerline.llm.quality import quality
+from ledgerline.llm.simhash import hex_fingerprint, near_duplicates
 from ledgerline.llm.storage import table
 from ledgerline.llm.token_counts import tiktoken_vocabulary, token_counts
+from ledgerline.llm.toxicity import fold_of, toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tiktoken_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold_of(3) != 1)
+    return scored.select("doc_id", (fold_of(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold_of(5) != 0)
+    return scored.select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", "predicted", "evidence", "evidence_terms")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
@@ -29,6 +47,9 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
+    "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_training_order": op10_training_order,
 }
