@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.ann import nearest
 from ledgerline.llm.feistel import materialise
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality
@@ -17,6 +18,12 @@ from ledgerline.llm.token_counts import tiktoken_vocabulary, token_counts
 from ledgerline.llm.toxicity import fold_of, toxicity
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = nearest(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tiktoken_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
@@ -46,6 +53,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op7_simhash": op7_simhash,
