@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.ann import nearest
+from ledgerline.llm.decontaminate import leaks
 from ledgerline.llm.feistel import materialise
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality
@@ -33,6 +34,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
