@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.ann import nearest
 from ledgerline.llm.decontaminate import leaks
 from ledgerline.llm.feistel import materialise
+from ledgerline.llm.lm import scores
 from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality
 from ledgerline.llm.simhash import hex_fingerprint, near_duplicates
@@ -38,6 +39,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scores(table(spark, sf_dir, "documents"), learn=fold_of(10) != 0)
+    return scored.withColumn("held_out", fold_of(10) == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_lm": op5_lm,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
