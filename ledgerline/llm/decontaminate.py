@@ -120,4 +120,4 @@ def _pass(text: DataFrame, items: DataFrame, k: int, similarity: float, radius:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold an item; rows of a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import saved
+from ledgerline.llm.storage import replayable, saved
 from ledgerline.llm.textarrays import END, Folded, fold, id_text, map_slices, sum_by
 
 DEPTH = 5
@@ -267,7 +267,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
 def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = VISITS) -> DataFrame:
     """doc_id, n_bytes (coded), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. learn: of doc_id."""
     spark = docs.sparkSession
-    text = id_text(docs)
+    text = replayable(id_text(docs), "documents")
     learned = text.filter(learn)
     model = spark.sparkContext.broadcast(fit(learned, depth, visits))
     counts = saved(word_counts(learned), "words")

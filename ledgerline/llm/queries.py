@@ -16,6 +16,7 @@ from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality
 from ledgerline.llm.simhash import hex_fingerprint, near_duplicates
 from ledgerline.llm.storage import table
+from ledgerline.llm.suffix import deduplicate
 from ledgerline.llm.token_counts import tiktoken_vocabulary, token_counts
 from ledgerline.llm.toxicity import fold_of, toxicity
 
@@ -44,6 +45,12 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold_of(10) == 0)
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduplicate(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_lm": op5_lm,
+    "op6_suffix_array": op6_suffix_array,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,

@@ -27,6 +27,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replayable(df: DataFrame, name: str) -> DataFrame:
+    """df if it is a plain scan, whose rows come in the same order each time it is read, so that they can be numbered; else a saved copy."""
+    todo, plain = [df._jdf.queryExecution().optimizedPlan()], {"Project", "Filter", "LogicalRelation"}
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in plain:
+            return saved(df, name)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what saved() has written for this application; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm

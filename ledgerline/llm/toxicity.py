@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.storage import saved
-from ledgerline.llm.textarrays import id_text, map_slices
+from ledgerline.llm.textarrays import id_text, map_slices, slices
 
 #: Labelled rows the model is fitted on, chosen by a hash of their doc_id.
 EXAMPLES = 16_384
@@ -258,6 +258,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "to
     return map_slices(id_text(docs), make, "doc_id long, score double, predicted int, evidence array<long>, evidence_terms array<string>")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> DataFrame:
+    """docs without the rows predicted toxic, in one narrow pass."""
+    model = fit(docs, labels, label, learn)
+
+    def keep(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(model.score(part.column("text"))[0] < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fold_of(n: int) -> Column:
     """crc32 of the doc_id as text, modulo n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
