@@ -1,0 +1,10 @@
+"""Where streams keep tables and state: the shared folder of the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/ledgerline-streams-{spark.sparkContext.applicationId}"
