@@ -5,7 +5,7 @@ are grown on the driver from a bounded sample of labelled rows, on at most BINS
 and flattened into arrays: scoring walks all documents of a slice down a tree together, one level a step.
 One narrow pass over the texts scores them; another reads the sample's texts.
 
-Nulls: a null or empty text has all statistics zero and is scored like any other; null ids or labels are not
+Nulls: a null text is an empty one, and is scored like any other; null ids or labels are not
 learned from; of several labels of one doc_id the largest counts; rows with one doc_id are scored each. With no
 usable labels, or labels all alike, every score is their smoothed mean. An empty table gives no rows; other
 columns are not read.
