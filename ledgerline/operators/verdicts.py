@@ -118,7 +118,53 @@ def study_b(participants: DataFrame, tasks: DataFrame, spine: list[str]) -> dict
     kept = tasks.join(usable.select("pid"), "pid", "left_semi").select("pid", "task", coerce.arm("arm").alias("arm"), coerce.number("time_s").alias("time_s"), coerce.number("steps").alias("steps"))
     wins = paired_wins(kept, spine, "task", "arm", ["time_s", "steps"])
     agreement = stats.kappa(usable, "reason_code_c1", "reason_code_c2").withColumn("band", stats.kappa_band(F.col("kappa")))
-    return {"criteria": table, "wins": wins, "kappa": agreement, "pilots": participants.filter(~coerce.yes("fair_config_ok"))}
+    return {"criteria": table, "wins": wins, "kappa": agreement, "pilots": participants.filter(~coerce.yes("fair_config_ok")), "verdict": _verdict_b(table, wins, agreement, counts)}
+
+
+TASKS_WON = 4  # Fixed value: tasks of six to be won on both medians.
+
+
+def _verdict_b(table: DataFrame, wins: DataFrame, agreement: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: P-1, P-2 (NO DATA where coders agree poorly), P-3, P-5 (both halves) and the study's verdict."""
+    of = lambda name: F.max(F.when(F.col("criterion") == name, F.col("verdict")))
+    flat = table.agg(of("P-1").alias("p1"), of("P-2").alias("p2"), F.when((of("P-5a") == "PASS") & (of("P-5b") == "PASS"), "PASS").otherwise("FAIL").alias("p5"))
+    won = wins.agg(F.count_if(F.col("verdict") == "PASS").alias("won"), F.count_if(F.col("verdict") != "NO DATA").alias("known"))
+    one = flat.crossJoin(won).crossJoin(agreement.agg(F.max("band").alias("band"))).crossJoin(counts.select("n"))  # one row each
+    p3 = F.when(F.col("known") == 0, "NO DATA").when(F.col("won") >= TASKS_WON, "PASS").otherwise("FAIL")
+    out = one.select("n", "p1", F.when(F.col("band") == "poor", "NO DATA").otherwise(F.col("p2")).alias("p2"), p3.alias("p3"), "p5")
+    return out.withColumn("verdict", overall(F.col("n"), F.col("p1"), F.col("p3")))
+
+
+HIGH_RISK, LOW_RISK = ["tol_id", "tol_contract"], ["tol_code", "tol_meme"]
+TOLERANCES = ["tol_code", "tol_meme", "tol_burst", "tol_meal", "tol_receipt", "tol_workdoc", "tol_family", "tol_id", "tol_contract"]
+VARIANTS = ["V1", "V2", "V3", "V4"]
+
+
+def study_d(rows: DataFrame) -> dict[str, DataFrame]:
+    """Delegation study from an all-text table: criteria, answers by content, gradient, crossover, variants and the verdict row."""
+    if "forced_choice" in rows.columns:
+        raise ValueError("this is the other study's table")
+    said = lambda c, v: F.coalesce(F.lower(F.trim(F.col(c))) == v, F.lit(False))
+    every = lambda columns, v: F.forall(F.array(*(said(c, v) for c in columns)), lambda x: x)
+    mode = F.trim(F.col("mode_choice"))
+    seconds = coerce.number("ledger_comprehension_s", 999.0)
+    quick = (seconds > 0) & (seconds <= 20)
+    counts = rows.agg(
+        F.count("*").alias("n"), F.count_if(mode.isin("2", "3")).alias("k1"), F.count_if(mode == "3").alias("k2"), F.count_if(quick).alias("k3"), F.count_if(coerce.yes("identified_work_done")).alias("k4"),
+        F.count_if(every(HIGH_RISK, "never")).alias("k5a"), F.count_if(every(LOW_RISK, "auto")).alias("k5b"), F.count_if(coerce.yes("recoverability_changed")).alias("k6"),
+    )
+    table = criteria(counts, [("D-P1", "k1", "n", 0.7), ("D-P2", "k2", "n", 0.4), ("D-P3", "k3", "n", 0.7), ("D-P4", "k4", "n", 0.6), ("D-P5a", "k5a", "n", 0.8), ("D-P5b", "k5b", "n", 0.6), ("D-P6", "k6", "n", 0.5)])
+    answers = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("content"), F.lower(F.trim(F.col(c))).alias("answer")) for c in TOLERANCES))))
+    matrix = on_spine(rows.sparkSession, "content", TOLERANCES, answers.groupBy("content").pivot("answer", ["auto", "ask", "never"]).agg(F.count("answer")), {"auto": 0, "ask": 0, "never": 0})
+    crossover = coerce.number("queue_crossover")
+    burden = rows.agg(F.median(F.when(crossover > 0, crossover)).alias("crossover")).withColumn("per_1000", F.col("crossover") / 10)
+    by_variant = rows.groupBy(F.upper(F.trim(F.col("ledger_variant"))).alias("variant")).agg(F.count("*").alias("n"), F.count_if(quick).alias("understood"), F.count_if(coerce.yes("identified_work_done")).alias("said_done"), F.count_if(mode == "3").alias("autonomous"))
+    variants = on_spine(rows.sparkSession, "variant", VARIANTS, by_variant, {"n": 0, "understood": 0, "said_done": 0, "autonomous": 0})
+    of = lambda name: F.max(F.when(F.col("criterion") == name, F.col("verdict")))
+    p5 = F.when((of("D-P5a") == "PASS") & (of("D-P5b") == "PASS"), "PASS").otherwise("FAIL")
+    row = table.agg(F.max("n").alias("n"), of("D-P1").alias("p1"), p5.alias("p5"))
+    verdict = row.withColumn("verdict", overall(F.col("n"), F.col("p1"), F.col("p5"))).withColumn("escalate", F.col("p1") == "FAIL")
+    return {"criteria": table, "answers": matrix, "gradient": gradient(rows, TOLERANCES), "burden": burden, "variants": variants, "verdict": verdict}
 
 
 def gradient(df: DataFrame, columns: list[str], value: str = "auto", margin: float = 0.3) -> DataFrame:

@@ -50,11 +50,26 @@ def test_evidence_states(spark):
 def test_paired_wins_and_study(spark):
     rows = [("p1", "T1", "b", "10", "2"), ("p1", "T1", "", "20", "3"), ("p1", "T2", "proto", "10", "2"), ("p2", "T1", "b", "999", "9")]
     tasks = spark.createDataFrame(rows, "pid string, task string, arm string, time_s string, steps string")
-    people = spark.createDataFrame([("p1", "y", "Prototype", "structural", "STRUCTURAL", "yes", "no", "y"), ("p2", None, "b", "", "", "", "", "")], "pid string, fair_config_ok string, forced_choice string, reason_code_c1 string, reason_code_c2 string, passport_pred_proto_level1 string, passport_pred_proto_full string, org_vocab_proto string")
+    people = spark.createDataFrame([("p1", "y", "Prototype", " structural", "structural ", "yes", "no", "y"), ("p2", None, "b", "", "", "", "", "")], "pid string, fair_config_ok string, forced_choice string, reason_code_c1 string, reason_code_c2 string, passport_pred_proto_level1 string, passport_pred_proto_full string, org_vocab_proto string")
     got = verdicts.study_b(people, tasks, ["T1", "T2", "T3"])
     assert {r.task: r.verdict for r in got["wins"].collect()} == {"T1": "PASS", "T2": "NO DATA", "T3": "NO DATA"}
     assert {r.criterion: (r.k, r.n) for r in got["criteria"].collect()} == {"P-1": (1, 1), "P-2": (1, 1), "P-5a": (1, 1), "P-5b": (0, 1), "P-6": (1, 1)}
     assert got["pilots"].count() == 1
+    verdict = got["verdict"].first()
+    assert (verdict.n, verdict.p1, verdict.p2, verdict.p3, verdict.verdict) == (1, "PASS", "PASS", "FAIL", "INCOMPLETE")
+
+
+def test_study_d(spark):
+    names = ["pid", "ledger_variant", "mode_choice", "ledger_comprehension_s", "identified_work_done", *verdicts.TOLERANCES, "recoverability_changed", "queue_crossover"]
+    row = lambda i: (f"p{i}", "V1" if i < 6 else "v4 ", "3" if i < 4 else "2" if i < 9 else "1", "12" if i < 8 else "", "yes" if i < 8 else "n", "auto", "AUTO" if i < 9 else "ask", *["ask"] * 5, "never", "never", "y" if i < 7 else "", str(60 + 5 * i) if i < 9 else "0")
+    got = verdicts.study_d(spark.createDataFrame([row(i) for i in range(10)], ", ".join(f"{n} string" for n in names)))
+    table = {r.criterion: (r.k, r.verdict, r.inconclusive) for r in got["criteria"].collect()}
+    assert table == {"D-P1": (9, "PASS", True), "D-P2": (4, "PASS", True), "D-P3": (8, "PASS", True), "D-P4": (8, "PASS", True), "D-P5a": (10, "PASS", True), "D-P5b": (9, "PASS", True), "D-P6": (7, "PASS", True)}
+    low = got["gradient"].first()
+    assert round(low.low_risk, 2) == 0.95 and low.high_risk == 0 and low.gradient == "GRADED"
+    assert got["burden"].first().per_1000 == 8.0 and got["verdict"].first().verdict == "INCOMPLETE"
+    assert {r.variant: (r.n, r.autonomous) for r in got["variants"].collect()} == {"V1": (6, 4), "V2": (0, 0), "V3": (0, 0), "V4": (4, 0)}
+    assert {r.content: (r.auto, r.ask, r.never) for r in got["answers"].collect()}["tol_meme"] == (9, 1, 0)
 
 
 def test_overall_and_gradient(spark):
