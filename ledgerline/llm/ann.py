@@ -9,7 +9,8 @@ widened until the share of those neighbours in the visited leaves reaches the re
 Equal vectors are one class that keeps its k + 1 smallest ids, which is all that any query can return of it, and
 equal queries are searched once, so a vector that very many rows share is neither a hot key nor a square of
 pairs. Leaves are dealt out as sub-buckets of bounded size, queries are sent to all of a leaf's sub-buckets, and
-only the k + 1 best of each come back.
+only the k + 1 best of each come back. A query's first leaves, about the square root of their number, are visited
+before the others: the distance found there bounds what the others need to send.
 
 Measure: Euclidean distance in double precision on the vectors as given; ties go to the smaller id. Null, empty
 or zero vectors, and vectors with null or non-finite components, take no part, nor do null ids or vectors of
@@ -21,6 +22,7 @@ not read.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -162,18 +164,23 @@ def nearest(base: DataFrame, queries: DataFrame, id_column: str, vector_column:
     asked = usable(queries, id_column, vector_column).filter(same)
     distinct = saved(asked.groupBy("v").agg(F.min("id").alias("query")), "queries")
 
-    def probes(batches):
-        for b in batches:
-            x = _matrix(b.column("v"))
-            at, leaf, sub = [], [], []
-            for i in range(len(x)):
-                for target in tree.visits(x[i], visits):
-                    for s in range(split[target]):
-                        at.append(i)
-                        leaf.append(target)
-                        sub.append(s)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(sub, pa.int32()), b.column("query").take(at), b.column("v").take(at)], names=["leaf", "sub", "query", "v"])
+    def probes(lo: int, hi: int):
+        """Queries sent to the sub-buckets of their lo-th to hi-th leaf."""
+
+        def send(batches):
+            for b in batches:
+                x = _matrix(b.column("v"))
+                at, leaf, sub = [], [], []
+                for i in range(len(x)):
+                    for target in tree.visits(x[i], hi)[lo:]:
+                        for s in range(split[target]):
+                            at.append(i)
+                            leaf.append(target)
+                            sub.append(s)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(sub, pa.int32()), *(b.column(c).take(at) for c in ("query", "v", "most"))], names=["leaf", "sub", "query", "v", "most"])
+
+        return send
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
@@ -181,24 +188,35 @@ def nearest(base: DataFrame, queries: DataFrame, id_column: str, vector_column:
             x, y = _matrix(left.column("v")), _matrix(right.column("v"))
             ids = right.column("ids").to_pylist()
             first = np.array([i[0] for i in ids])
-            for q, v in zip(left.column("query").to_pylist(), x):
-                found += [(q, float(d), ids[r]) for r, d in zip(*_best(v, y, first, keep))]
+            for q, v, most in zip(left.column("query").to_pylist(), x, left.column("most").to_pylist()):
+                found += [(q, float(d), ids[r]) for r, d in zip(*_best(v, y, first, keep)) if d <= most]
         return pa.table({"query": pa.array([f[0] for f in found], pa.int64()), "distance": pa.array([f[1] for f in found], pa.float64()), "ids": pa.array([f[2] for f in found], pa.list_(pa.int64()))})
 
-    sent = distinct.mapInArrow(probes, f"leaf int, sub int, query long, v {kind}")
     # a leaf that is not split has one sub-bucket; others are dealt by a hash of their smallest id
     table = F.array(*(F.lit(int(max(1, s))) for s in split)) if split.max(initial=1) > 1 else None
     sub = F.lit(0) if table is None else F.pmod(F.xxhash64(F.col("ids")[0]), F.element_at(table, F.col("leaf") + 1)).cast("int")
     held = indexed.withColumn("sub", sub)
-    found = sent.groupBy("leaf", "sub").cogroup(held.groupBy("leaf", "sub")).applyInArrow(compare, SCHEMA)
-    near = Window.partitionBy("query").orderBy("distance", F.col("ids")[0])
-    top = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= keep).select("query", "distance", F.explode("ids").alias("id"))
-    by_id = Window.partitionBy("query").orderBy("distance", "id")
-    top = top.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= keep).select("query", "distance", "id")
+
+    def visit(some: DataFrame, lo: int, hi: int) -> DataFrame:
+        sent = some.mapInArrow(probes(lo, hi), f"leaf int, sub int, query long, v {kind}, most double")
+        return sent.groupBy("leaf", "sub").cogroup(held.groupBy("leaf", "sub")).applyInArrow(compare, SCHEMA)
+
+    def top(found: DataFrame) -> DataFrame:
+        """The k + 1 best of each query."""
+        near = Window.partitionBy("query").orderBy("distance", F.col("ids")[0])
+        best = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= keep).select("query", "distance", F.explode("ids").alias("id"))
+        return best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("r") <= keep)
+
+    # the first leaves give a distance that the neighbours in all others must not exceed
+    near = min(visits, math.isqrt(visits) + 1)
+    found = saved(visit(distinct.withColumn("most", F.lit(float("inf"))), 0, near), "near")
+    if near < visits:
+        limit = top(found).filter(F.col("r") == keep).select("query", F.col("distance").alias("most"))
+        found = found.union(visit(distinct.join(limit, "query", "left").select("v", "query", F.coalesce("most", F.lit(float("inf"))).alias("most")), near, visits))
     who = asked.join(distinct, "v").select(F.col("id").alias("query_id"), "query")
     own = Window.partitionBy("query_id").orderBy("distance", "id")
     return (
-        who.join(top, "query").filter("id != query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
+        who.join(top(found).select("query", "distance", "id"), "query").filter("id != query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("distance").alias("score"))
     )
 
