@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from ledgerline.llm.textarrays import ragged
 
 #: Words that one Python worker remembers; words met later are encoded each time they are met.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class WordEncoder:
@@ -39,20 +39,18 @@ class WordEncoder:
         spare = iter(range(256, 512))
         self.alphabet = {b: chr(b if b in shown else next(spare)) for b in range(256)}
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.ends = [0]
+        self.ends = np.zeros(1, np.int64)
 
     def part(self, text: str) -> list[int]:
-        got = self.parts.get(text)
-        if got is None:
-            shown = text if text.isascii() else "".join(self.alphabet[b] for b in text.encode())
-            got = [t.id for t in self.model.tokenize(shown)]
-            if len(self.parts) < REMEMBERED:
-                self.parts[text] = got
-        return got
+        shown = text if text.isascii() else "".join(self.alphabet[b] for b in text.encode())
+        return [t.id for t in self.model.tokenize(shown)]
 
     def word(self, word: str) -> list[int]:
+        core = word.rstrip(",.!?")
+        if core.isascii() and core.isalpha():  # the commonest shape: letters, then perhaps one run of marks
+            got = self.part(core.lower())
+            return got + self.part(word[len(core) :]) if len(core) < len(word) else got
         plain = word.lower()
         if self.PLAIN.fullmatch(plain) and "<|" not in word and (word.isascii() or unicodedata.is_normalized("NFC", word)):
             return [i for p in self.SPLIT.findall(plain) for i in self.part(p)]
@@ -64,28 +62,32 @@ class WordEncoder:
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
         found = coded.dictionary.to_pylist()
+        known, ends = self.known, self.ends
+        index = [known.get(w, -1) for w in found]
+        new: list[int] = []
+        sizes: list[int] = []
+        missing = [k for k, n in enumerate(index) if n < 0]
+        for k in missing:
+            got = self.word(found[k]) if found[k] else []
+            new += got
+            sizes.append(len(got))
+        first = ends[-1]
+        fresh = np.array(new, np.uint32)
+        size = np.array(sizes, np.int64)
+        room = max(0, min(len(missing), REMEMBERED - len(known)))  # the words remembered come first
+        hold = int(size[:room].sum())
+        while first + hold > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[first : first + hold] = fresh[:hold]
+        for k in missing[:room]:
+            known[found[k]] = len(known)
+        self.ends = np.concatenate([ends, first + np.cumsum(size[:room])])
+        pool = np.concatenate([self.ids[:first], fresh])
+        index = np.array(index, np.int64)
+        old = index >= 0
         at = np.empty((len(found), 2), np.int64)
-        extra: list[int] = []
-        for k, w in enumerate(found):
-            n = self.known.get(w)
-            if n is None:
-                got = self.word(w) if w else []
-                if len(self.known) < REMEMBERED:
-                    n = self.known[w] = len(self.ends) - 1
-                    end = self.ends[-1] + len(got)
-                    while end > len(self.ids):
-                        self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-                    self.ids[self.ends[-1] : end] = got
-                    self.ends.append(end)
-                else:
-                    at[k] = -1 - len(extra), len(got)
-                    extra += got
-                    continue
-            at[k] = self.ends[n], self.ends[n + 1] - self.ends[n]
-        pool = self.ids[: self.ends[-1]]
-        if extra:
-            at[:, 0] = np.where(at[:, 0] < 0, len(pool) - 1 - at[:, 0], at[:, 0])
-            pool = np.concatenate([pool, np.array(extra, np.uint32)])
+        at[old, 0], at[old, 1] = ends[index[old]], ends[index[old] + 1] - ends[index[old]]
+        at[~old, 0], at[~old, 1] = first + np.cumsum(size) - size, size
         place = coded.indices.to_numpy(zero_copy_only=False)
         size = at[place, 1]
         ids = pool[ragged(at[place, 0], size)]
