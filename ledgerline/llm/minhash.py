@@ -1,0 +1,148 @@
+"""Near-duplicates by exact shingle similarity, for the pipeline: five-word shingles, Jaccard similarity >= 0.8.
+
+A 64-bit fingerprint of a pair at that similarity may differ in a dozen bits, more than any covering of it can
+meet, so candidates come from min-hashes: BANDS keys of ROWS minima each over the XXH64 values of a text's
+shingles. A pair of similarity s shares no key with chance (1 - s**ROWS)**BANDS, 5e-8 at 0.8. Every pair of
+candidates is then verified on its whole sets of shingles, but for pairs that verified links already join.
+
+Equal sets are one class throughout, so copies are never expanded into pairs; buckets with the same members count
+once. Rows are numbered by place, so null and repeated doc_ids are rows like any other. Texts of fewer words than a
+shingle are one shingle; texts without words are one class.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerline.llm.components import components
+from ledgerline.llm.storage import replayable, saved
+from ledgerline.llm.textarrays import P1, fold, map_slices, word_runs, xxh64
+
+WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 4
+FACTORS = np.random.default_rng(5).integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+RID = "__rid"
+
+
+def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle, repeats included, and shingles per text."""
+    f = fold(texts)
+    start, size, runs = word_runs(f, words)
+    return xxh64(f.buf, start, size), runs
+
+
+def sets(hashes: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(runs)
+    return [np.unique(hashes[a:b]) for a, b in zip(ends - runs, ends)]
+
+
+def keys(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """BANDS keys of each group that has hashes."""
+    first = (np.cumsum(runs) - runs)[runs > 0]
+    out = np.empty((len(first), BANDS), np.uint64)
+    if not len(first):
+        return out
+    with np.errstate(over="ignore"):
+        for band in range(BANDS):
+            key = np.full(len(first), band + 1, np.uint64)
+            for factor in FACTORS[band]:
+                key = (key ^ np.minimum.reduceat(hashes * factor, first)) * P1
+                key ^= key >> np.uint64(29)
+            out[:, band] = key
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def joined(members: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs alike that span the components of all pairs alike."""
+    parts: list[list[int]] = []
+    out = []
+    for i, mine in enumerate(members):
+        apart, here = [], [i]
+        for part in parts:
+            hit = next((j for j in reversed(part) if alike(mine, members[j], similarity)), None)
+            if hit is None:
+                apart.append(part)
+            else:
+                out.append((hit, i))
+                here = part + here
+        parts = [*apart, here]
+    return out
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return replayable(docs, "documents").withColumn(RID, F.monotonically_increasing_id())
+
+
+def links(classes: DataFrame, placed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: rows of classes alike, enough of them to join all that are. classes: cls (a row of placed), keys."""
+    spread = classes.select("cls", F.explode("keys").alias("key")).distinct()
+    mark = F.xxhash64("cls")
+    buckets = spread.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.xxhash64("cls", F.lit(1)).cast("decimal(20,0)")).alias("s")).filter("n > 1")
+    once = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    members = saved(spread.join(once, "key", "left_semi"), "members")
+
+    def make():
+        def work(part: pa.RecordBatch):
+            got = sets(*shingles(part.column("text"), words))
+            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([x.view(np.int64) for x in got], pa.list_(pa.int64()))], names=["cls", "set"])
+
+        return work
+
+    texts = placed.select(F.col(RID).alias("cls"), F.col("text").cast("string").alias("text")).join(members.select("cls").distinct(), "cls")
+    held = saved(map_slices(texts, make, "cls long, set array<long>"), "sets")
+
+    def verify(batches):
+        key, ids, group = None, [], []
+
+        def found():
+            at = joined(group, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in at], pa.int64()), pa.array([ids[j] for _, j in at], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for k, c, s in zip(b.column("key").to_pylist(), b.column("cls").to_pylist(), b.column("set")):
+                if k != key:
+                    if len(ids) > 1:
+                        yield found()
+                    key, ids, group = k, [], []
+                ids.append(c)
+                group.append(s.values.to_numpy())
+        if len(ids) > 1:
+            yield found()
+
+    return members.join(held, "cls").repartition("key").sortWithinPartitions("key", "cls").select("key", "cls", "set").mapInArrow(verify, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the smallest doc_id, of those the first; null ids come last."""
+    placed = _placed(docs)
+
+    def make():
+        def work(part: pa.RecordBatch):
+            hashes, runs = shingles(part.column("text"), words)
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets(hashes, runs)]
+            ends = np.append(0, np.cumsum(np.where(runs > 0, BANDS, 0))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys(hashes, runs).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(digest, pa.binary()), lists], names=["rid", "doc_id", "digest", "keys"])
+
+        return work
+
+    read = placed.select(F.col(RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = map_slices(read, make, "rid long, doc_id long, digest binary, keys array<long>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    classes = saved(marked.groupBy("digest").agg(F.min("rid").alias("cls"), F.min_by("keys", "rid").alias("keys"), first), "classes")
+    star = components(links(classes.select("cls", "keys"), placed, words, similarity))
+    rooted = classes.select("cls", "first").join(star.withColumnRenamed("node", "cls"), "cls", "left")
+    stay = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.rid").alias(RID))
+    return placed.join(stay, RID, "left_semi").select(docs.columns)

@@ -1,0 +1,78 @@
+import random
+import re
+
+import corpus_pipeline
+import numpy as np
+
+from ledgerline.llm import minhash
+
+
+def shingle_set(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([" ".join(w)] if w else [])
+
+
+def brute(rows, similarity=0.8):
+    """Rows that stay, by comparing all pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a | sets[j] and len(a & sets[j]) >= similarity * len(a | sets[j]) - 1e-9):
+                root[find(i)] = find(j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        best.setdefault(find(i), []).append((d is None, d or 0, i))
+    return sorted(min(g)[2] for g in best.values())
+
+
+def planted(r):
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for d in range(60):
+        text = [r.choice(words) for _ in range(r.randint(60, 300))]
+        rows.append((10 * d, " ".join(text)))
+        if d % 2:
+            for c in range(1, 4):
+                near = list(text)
+                for _ in range(max(1, len(near) // 60)):
+                    near[r.randrange(len(near))] = r.choice(words)
+                rows.append((10 * d + c, " ".join(near)))
+    return rows
+
+
+def test_stage_catches_planted_near_copies(spark):
+    rows = planted(random.Random(1))
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    want = brute(rows)
+    assert len(want) < len(rows) - 60
+    assert sorted(r.n for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == want
+
+
+def test_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, docs.collect()))
+    assert sorted(r.doc_id for r in minhash.one_of_each(docs).collect()) == [rows[i][0] for i in brute(rows)]
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_joined_spans_the_components():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 12, 10)) for _ in range(80)]
+    at = minhash.joined(sets, 0.8)
+    pairs = [(i, j) for j in range(80) for i in range(j) if minhash.alike(sets[i], sets[j], 0.8)]
+
+    def roots(links):
+        root = list(range(80))
+        for _ in range(80):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert set(at) <= set(pairs) and roots(at) == roots(pairs)
