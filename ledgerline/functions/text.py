@@ -59,7 +59,7 @@ def skeleton(c: Column, regions: list[str]) -> Column:
 
 def likelihood(c: Column) -> Column:
     """Character analogue of the text-likelihood signal: 1.5 x share of neighbours whose codes differ by over 40, plus half the fullest of 16 bins, at most 1."""
-    codes = F.transform(F.regexp_extract_all(F.left(c, F.lit(4096)), F.lit("(?s)(.)"), F.lit(1)), lambda x: F.least(F.ascii(x), F.lit(255)))
+    codes = F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1)), lambda x: F.least(F.ascii(x), F.lit(255)))
     return array_likelihood(codes)
 
 

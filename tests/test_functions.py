@@ -76,6 +76,19 @@ def test_likelihood(spark):
     assert flat == 0.5 and stripes == 1.0 and one(spark, v=text.likelihood(F.lit(""))).v == 0
 
 
+def test_likelihood_reads_the_whole_text(spark):
+    def brute(t):
+        codes = [min(ord(x), 255) for x in t]
+        edges = sum(abs(a - b) > 40 for a, b in zip(codes, codes[1:]))
+        peak = max(sum(c // 16 == b for c in codes) for b in range(16))
+        return min(1.0, 1.5 * edges / (len(codes) - 1) + 0.5 * peak / len(codes))
+
+    opening = "word " * 820
+    texts = [opening, opening + "a" * 9000, opening + "a zé\n" * 2000]
+    got = [one(spark, v=text.likelihood(F.lit(t))).v for t in texts]
+    assert got == pytest.approx([brute(t) for t in texts]) and len(set(got)) == 3
+
+
 def test_text(spark):
     md = "see [a](docs/x.md:12#top) [b](https://e.org) [c](mailto:a@b) [d](#here) and `run.py` `*.md` `notes.txt`"
     got = one(spark, l=text.links(F.lit(md)), f=text.file_references(F.lit(md)), s=text.slug(F.lit("Places > New York & Co·")), e=text.escape_html(F.lit("<a & 'b'>")), t=text.strip_tags(F.lit("<p>a &amp;lt; b</p><p></p><p></p>c<br/>d")), x=text.section(F.lit("# A\none\n## B\ntwo\n# C\n"), "B"))
