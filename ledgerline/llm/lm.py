@@ -9,9 +9,10 @@ explained the corpus. Scores add up log10 of the mixed predictions, and never le
 
 Counting: the byte (DEPTH+1)-grams of all learned documents, summed in each task, then by a shuffle; trees are
 weighted from the leaves up inside partitions that hold all nodes under a two-byte context, and the last two
-levels by two small aggregations. For prediction, nodes visited in at least VISITS of all coded bytes are kept,
-whatever the corpus, so there are at most 8 * (DEPTH + 1) / VISITS of them to send to the executors; where a node
-is left out its parent's estimate stands.
+levels by two small aggregations. Every counted node takes part in prediction. Nodes visited in at least VISITS of all
+coded bytes, at most 8 * (DEPTH + 1) / VISITS of them, are sent to the executors, and so are all with a context of
+under two bytes. A gram whose deepest nodes are among them is scored at once; every other gram of a document meets
+all nodes under its two-byte context in the partition that counts them, and its value is joined back.
 
 Base: unigram counts of all words; those that make up at least FREQUENT of all tokens, so at most 1 / FREQUENT
 words, are sent to the executors, and the others' (document, word) pairs are joined with the counts, so no word is
@@ -39,6 +40,8 @@ VISITS = 2.0**-20
 FREQUENT = 2.0**-20
 #: Entries that one task sums up before it merges them, and grams whose score one worker remembers.
 MERGE, REMEMBERED = 3_000_000, 3_000_000
+#: Grams whose nodes are held at once where rare grams are scored, but for those under one two-byte context.
+GROUP = 100_000
 U = np.uint64
 NODES = "depth int, node long, n0 long, n1 long, weighted double, stop double"
 
@@ -180,19 +183,31 @@ class Model:
             total += np.log10(np.where((byte >> U(7 - i)) & U(1) == 1, p, 1 - p))
         return total
 
+    def whole(self, code: np.ndarray) -> np.ndarray:
+        """Whether the deepest node of the last bit, so that of every bit, is kept."""
+        keys = self.levels[self.depth][0]
+        if not len(keys):
+            return np.zeros(len(code), bool)
+        want = ((code >> U(8)) & U((1 << (8 * self.depth)) - 1)) << U(8) | U(128) | ((code & U(255)) >> U(1))
+        return keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+
 
 class Scorer:
-    """A model with a bounded memory of scored grams."""
+    """A model with a bounded memory of scored grams. cut: nodes are left out of it; NaN for grams that may need them."""
 
-    def __init__(self, model: Model):
-        self.model, self.codes, self.values = model, np.empty(0, U), np.empty(0)
+    def __init__(self, model: Model, cut: bool = False):
+        self.model, self.cut, self.codes, self.values = model, cut, np.empty(0, U), np.empty(0)
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
         found, place = np.unique(code, return_inverse=True)
         at = np.minimum(np.searchsorted(self.codes, found), max(len(self.codes) - 1, 0))
         known = self.codes[at] == found if len(self.codes) else np.zeros(len(found), bool)
         value = self.values[at] if len(self.codes) else np.empty(len(found))
-        value[~known] = self.model.log10(found[~known])
+        new = found[~known]
+        whole = self.model.whole(new) if self.cut else np.ones(len(new), bool)
+        scored = np.full(len(new), np.nan)
+        scored[whole] = self.model.log10(new[whole])
+        value[~known] = scored
         if (~known).any():
             if len(self.codes) > REMEMBERED:
                 self.codes, self.values = found, value
@@ -203,13 +218,17 @@ class Scorer:
         return value[place]
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> Model:
-    """The context tree of all documents given."""
+def recent_of(top: int) -> Column:
+    """The last bytes of a code's context, under which partitions hold whole subtrees."""
+    return F.col("code").bitwiseAND(F.lit((1 << (8 * (top + 1))) - 256).cast("long"))
+
+
+def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Model, DataFrame, float]:
+    """Kept nodes of the context tree of all documents given, the counted grams, and the visits of a kept node."""
     top = min(2, depth)
     counts = saved(gram_counts(id_text(docs), depth), "grams")
     coded = counts.agg(F.sum("n")).first()[0] or 0
     least = visits * coded
-    recent = F.col("code").bitwiseAND(F.lit((1 << (8 * (top + 1))) - 256).cast("long"))
 
     def weigh_subtrees(batches):
         got = [(b.column("code").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
@@ -217,7 +236,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> Model:
             for d, node, n0, n1, weighted, stop in subtree(*map(np.concatenate, zip(*got)), depth, top):
                 yield _batch(d, node, n0, n1, weighted, stop, slice(None) if d == top else n0 + n1 >= least)
 
-    nodes = saved(counts.repartition(recent).mapInArrow(weigh_subtrees, NODES), "nodes")
+    nodes = saved(counts.repartition(recent_of(top)).mapInArrow(weigh_subtrees, NODES), "nodes")
     frames, level = [nodes], nodes.filter(F.col("depth") == top)
     for d in range(top - 1, -1, -1):
         up = level.groupBy(F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1).cast("long")).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
@@ -232,13 +251,48 @@ def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> Model:
     levels = []
     for d in range(depth + 1):
         frame = frames[0] if d >= top else frames[top - d]
-        kept = frame.filter((F.col("depth") == d) & (F.col("n0") + F.col("n1") >= least))
+        kept = frame.filter((F.col("depth") == d) & (F.col("n0") + F.col("n1") >= (least if d >= top else 0)))
         one = ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float")
         got = kept.select("node", one.alias("one"), F.col("stop").cast("float").alias("stop")).toArrow()  # at most 8 / visits rows
         key = got.column("node").to_numpy().view(U)
         order = np.argsort(key)
         levels.append((key[order], got.column("one").to_numpy()[order], got.column("stop").to_numpy()[order]))
-    return Model(depth, levels)
+    return Model(depth, levels), counts, least
+
+
+def rare_values(asked: DataFrame, counts: DataFrame, broadcast, depth: int) -> DataFrame:
+    """code, value: log10 of the probability of each gram asked for, by all counted nodes."""
+    top = min(2, depth)
+
+    def run(batches):
+        got = [(b.column("code").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
+        if not got:
+            return
+        code, n = map(np.concatenate, zip(*got))
+        recent = code & U((1 << (8 * (top + 1))) - 256)
+        order = np.argsort(recent, kind="stable")
+        code, n, recent = code[order], n[order], recent[order]
+        first = np.flatnonzero(np.append(True, recent[1:] != recent[:-1]))
+        ends = np.append(first[1:], len(code))
+        part = ends // GROUP
+        stops = ends[np.append(part[1:] != part[:-1], True)]
+        for a, b in zip(np.append(0, stops[:-1]), stops):
+            held, want = n[a:b] > 0, code[a:b][n[a:b] == 0]
+            if not len(want):
+                continue
+            levels = list(broadcast.value.levels)
+            for d in range(top, depth + 1):
+                levels[d] = (np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32))
+            if held.any():
+                for d, node, n0, n1, _, stop in subtree(code[a:b][held], n[a:b][held], depth, top):
+                    levels[d] = (node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32))
+            model = Model(depth, levels)
+            for k in range(0, len(want), GROUP):
+                some = want[k : k + GROUP]
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(model.log10(some))], names=["code", "value"])
+
+    both = counts.select("code", "n").union(asked.select("code", F.lit(0).cast("long").alias("n")))
+    return both.repartition(recent_of(top)).mapInArrow(run, "code long, value double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -269,7 +323,9 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
     spark = docs.sparkSession
     text = replayable(id_text(docs), "documents")
     learned = text.filter(learn)
-    model = spark.sparkContext.broadcast(fit(learned, depth, visits))
+    fitted, grammed, least = fit(learned, depth, visits)
+    cut = least > 1
+    model = spark.sparkContext.broadcast(fitted)
     counts = saved(word_counts(learned), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     spread = 0.1 * (kinds + 1) + total
@@ -277,7 +333,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
     common = spark.sparkContext.broadcast((frequent.column("word").combine_chunks().cast(pa.large_string()), frequent.column("n").to_numpy()))
 
     def make():
-        scorer, context, seen = Scorer(model.value), TaskContext.get(), [0]
+        scorer, context, seen = Scorer(model.value, cut), TaskContext.get(), [0]
         words, n = common.value
         value, known = np.log10((n + 0.1) / spread), (n > 0).astype(float)
         ends = pc.index_in(pa.scalar("\n", pa.large_string()), words).as_py()
@@ -288,7 +344,9 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
             rid = np.arange(seen[0], seen[0] + rows) | (context.partitionId() << 40)
             seen[0] += rows
             code, sizes = grams(fold(part.column("text")), depth)
-            score = sum_by(scorer(code), sizes)
+            value_of = scorer(code)
+            rare = np.isnan(value_of)
+            score = sum_by(np.where(rare, 0, value_of), sizes)
             found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "").cast(pa.large_string())))
             doc = np.repeat(np.arange(rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
             coded = found.flatten().dictionary_encode()
@@ -302,25 +360,42 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
             sure = np.bincount(doc[hit], known[at[hit]], rows).astype(np.int64) + end[1]
             nothing = pa.nulls(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array([f" {r}" for r in rid]), nothing, part.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(sure), pa.array(base), pa.array(score)], names=NAMES
+                [pa.array(rid), pa.array([f" {r}" for r in rid]), nothing, nothing, part.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(sure), pa.array(base), pa.array(score)], names=NAMES
             )
             width = max(len(coded.dictionary), 1)
             key, tf = np.unique(doc[~hit] * width + place[~hit], return_counts=True)
             m = len(key)
-            blank = [pa.nulls(m, t) for t in (pa.int64(),) * 4 + (pa.float64(),) * 2]
+            blank = [pa.nulls(m, t) for t in (pa.int64(),) * 5 + (pa.float64(),) * 2]
             yield pa.RecordBatch.from_arrays([pa.array(rid[key // width]), coded.dictionary.take(pa.array(key % width)).cast(pa.string()), pa.array(tf), *blank], names=NAMES)
+            if rare.any():
+                at, asked = np.repeat(np.arange(rows), sizes)[rare], code[rare]
+                order = np.lexsort((asked, at))
+                at, asked = at[order], asked[order]
+                first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (asked[1:] != asked[:-1])))
+                m = len(first)
+                blank = [pa.nulls(m, t) for t in (pa.int64(),) * 4 + (pa.float64(),) * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at[first]]), pa.nulls(m, pa.string()), pa.array(np.diff(np.append(first, len(at)))), pa.array(asked[first].view(np.int64)), *blank], names=NAMES)
 
         return work
 
-    parts = map_slices(text, make, "rid long, word string, tf long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    parts = map_slices(text, make, "rid long, word string, tf long, code long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    if cut:
+        parts = saved(parts, "parts")
+        deep = parts.filter("code IS NOT NULL").select("rid", "tf", "code")
+        parts = parts.filter("code IS NULL")
     joined = parts.join(counts, "word", "left")
     times = F.coalesce("n", F.lit(0))
     base = F.coalesce("base_score", F.col("tf") * F.log10((times + 0.1) / F.lit(spread)))
     sure = F.coalesce("n_known", F.when(times > 0, F.col("tf")).otherwise(0))
-    whole = joined.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.sum(sure).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score")
+    rows = joined.select("rid", "doc_id", "n_bytes", "n_tokens", sure.alias("n_known"), base.alias("base_score"), "score")
+    if cut:
+        asked = rare_values(deep.select("code").distinct(), grammed, model, depth)
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"))]
+        rows = rows.union(deep.join(asked, "code").select("rid", *nothing, (F.col("tf") * F.col("value")).alias("score")))
+    whole = rows.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
     )
     return whole.select("doc_id", "n_bytes", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
-NAMES = ["rid", "word", "tf", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
+NAMES = ["rid", "word", "tf", "code", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"]

@@ -90,6 +90,15 @@ def test_equal_to_plain_context_tree_weighting(spark, depth):
         assert got[i].n_bytes == len(" ".join(tokens(t)).encode()) + 1
 
 
+@pytest.mark.parametrize("depth, visits", [(1, 0.5), (2, 0.05), (4, 0.02), (4, 1.0)])
+def test_rarely_visited_nodes_count(spark, monkeypatch, depth, visits):
+    monkeypatch.setattr(lm, "GROUP", 20)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    plain = Plain([t for i, t in enumerate(TEXTS) if i % 3 != 1], depth)
+    got = {r.doc_id: r.score for r in lm.scores(df, F.col("doc_id") % 3 != 1, depth=depth, visits=visits).collect()}
+    assert got == pytest.approx({i: plain.score(t) for i, t in enumerate(TEXTS)}, rel=1e-4)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 0.2)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
