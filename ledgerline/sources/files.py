@@ -120,6 +120,6 @@ def read_pairs(spark: SparkSession, path: str, app_column: str = "app") -> DataF
 
 
 def report(df: DataFrame, title: str) -> str:
-    """A small result as a markdown table."""
+    """A result as a markdown table, all rows."""
     head = f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in row) + " |\n" for row in df.limit(1000).collect())
+    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in row) + " |\n" for row in df.toLocalIterator())

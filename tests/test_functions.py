@@ -101,3 +101,9 @@ def test_small_signals(spark):
     got = one(spark, c=signals.chip(F.lit(" "), F.lit("iPhone14,5"), {"iPhone14": "A15"}), d=signals.chip(F.lit("a12"), F.lit("x"), {"iPhone14": "A15"}), q=signals.chip(F.lit(None), F.lit("iPad"), {"iPhone14": "A15"}), r=signals.rank(["a", "b"], F.lit("b")), u=signals.rank(["a"], F.lit("z")), g=signals.degrees_minutes(F.lit(-12.5)), v=coerce.ratio(F.lit(1.0), F.lit(0.0)), dist=signals.distance(F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))))
     assert (got.c, got.d, got.q, got.r, got.u, got.g.degrees, got.g.minutes, got.v, got.dist) == ("A15", "A12", "?", 1, -1, 12, 30, 0, 5)
     assert math.isfinite(got.dist)
+
+
+def test_report_writes_all_rows(spark):
+    from ledgerline.sources import files
+
+    assert files.report(spark.range(1500), "t").count("\n") == 4 + 1500
