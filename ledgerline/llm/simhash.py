@@ -152,11 +152,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; rows of a null doc_id stay."""
-    found = near_duplicates(docs, words, t)
-    return docs.join(found.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -76,3 +76,11 @@ def test_joined_spans_the_components():
         return root
 
     assert set(at) <= set(pairs) and roots(at) == roots(pairs)
+
+
+def test_null_and_repeated_ids_keep_one_row_of_each(spark):
+    a, b, c = "one two three four five six", "other words that stand quite alone", "a clean text beside a copy"
+    rows = [(None, a), (None, a), (5, b), (5, b), (3, a + " "), (7, b), (7, c), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    got = {r.n for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert got == {4, 2, 6, 7} == set(brute(rows))
