@@ -32,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import replayable, saved
-from ledgerline.llm.textarrays import END, Folded, fold, id_text, map_slices, sum_by
+from ledgerline.llm.storage import saved, settled
+from ledgerline.llm.textarrays import END, Folded, fold, id_text, map_slices, slice_bytes, slices, sum_by, word_strings
 
 DEPTH = 5
 VISITS = 2.0**-20
 FREQUENT = 2.0**-20
-#: Entries that one task sums up before it merges them, and grams whose score one worker remembers.
-MERGE, REMEMBERED = 3_000_000, 3_000_000
+#: Entries that one task sums up before it merges them, and bits of the number of grams whose score one worker remembers.
+MERGE, PLACES = 3_000_000, 22
 #: Grams whose nodes are held at once where rare grams are scored, but for those under one two-byte context.
 GROUP = 100_000
 U = np.uint64
@@ -132,13 +132,12 @@ def _batch(d: int, node, n0, n1, weighted, stop, keep=slice(None)) -> pa.RecordB
 
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     """code, n over all documents given."""
+    most = slice_bytes()
 
     def run(batches):
         held = [(np.empty(0, U), np.empty(0, np.int64))]
-        from ledgerline.llm.textarrays import slices
-
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 code = grams(fold(part.column("text")), depth)[0]
                 code.sort()
                 first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
@@ -193,29 +192,26 @@ class Model:
 
 
 class Scorer:
-    """A model with a bounded memory of scored grams. cut: nodes are left out of it; NaN for grams that may need them."""
+    """A model with a bounded memory of scored grams, one place for each. cut: nodes are left out of it; NaN for grams that may need them."""
 
-    def __init__(self, model: Model, cut: bool = False):
-        self.model, self.cut, self.codes, self.values = model, cut, np.empty(0, U), np.empty(0)
+    def __init__(self, model: Model, cut: bool, places: int):
+        self.model, self.cut, self.shift = model, cut, U(64 - places)
+        self.codes, self.values = np.zeros(1 << places, U), np.zeros(1 << places)
+        self.full = np.zeros(1 << places, bool)
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
-        found, place = np.unique(code, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.codes, found), max(len(self.codes) - 1, 0))
-        known = self.codes[at] == found if len(self.codes) else np.zeros(len(found), bool)
-        value = self.values[at] if len(self.codes) else np.empty(len(found))
-        new = found[~known]
-        whole = self.model.whole(new) if self.cut else np.ones(len(new), bool)
-        scored = np.full(len(new), np.nan)
-        scored[whole] = self.model.log10(new[whole])
-        value[~known] = scored
-        if (~known).any():
-            if len(self.codes) > REMEMBERED:
-                self.codes, self.values = found, value
-            else:
-                codes = np.concatenate([self.codes, found[~known]])
-                order = np.argsort(codes)
-                self.codes, self.values = codes[order], np.concatenate([self.values, value[~known]])[order]
-        return value[place]
+        at = ((code ^ (code >> U(29))) * U(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)  # Fixed value: 2**64 by the golden ratio
+        value = self.values[at]
+        missing = np.flatnonzero((self.codes[at] != code) | ~self.full[at])
+        if len(missing):
+            new, first, back = np.unique(code[missing], return_index=True, return_inverse=True)
+            scored = np.full(len(new), np.nan)
+            whole = self.model.whole(new) if self.cut else np.ones(len(new), bool)
+            scored[whole] = self.model.log10(new[whole])
+            value[missing] = scored[back]
+            place = at[missing[first]]
+            self.codes[place], self.values[place], self.full[place] = new, scored, True
+        return value
 
 
 def recent_of(top: int) -> Column:
@@ -297,17 +293,19 @@ def rare_values(asked: DataFrame, counts: DataFrame, broadcast, depth: int) -> D
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents given; the end is the word "\\n"."""
+    most = slice_bytes()
 
     def run(batches):
         held: list[pa.Table] = []
         for batch in batches:
-            texts = pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
-            got = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(texts)))
-            held.append(pa.table({"word": pa.concat_arrays([got.field(0), pa.array(["\n"])]), "n": pa.concat_arrays([got.field(1), pa.array([batch.num_rows], pa.int64())])}))
-            if len(held) > 8:
-                held = [_merged(held)]
-                if held[0].num_rows > MERGE:
-                    yield from held.pop().to_batches()
+            for part in slices(batch, most=most):
+                got = pc.value_counts(word_strings(fold(part.column("text"))))
+                word = pa.concat_arrays([got.field(0), pa.array(["\n"], pa.large_string())])
+                held.append(pa.table({"word": word.cast(pa.string()), "n": pa.concat_arrays([got.field(1), pa.array([part.num_rows], pa.int64())])}))
+                if len(held) > 8:
+                    held = [_merged(held)]
+                    if held[0].num_rows > MERGE:
+                        yield from held.pop().to_batches()
         if held:
             yield from _merged(held).to_batches()
 
@@ -321,7 +319,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
 def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = VISITS) -> DataFrame:
     """doc_id, n_bytes (coded), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. learn: of doc_id."""
     spark = docs.sparkSession
-    text = replayable(id_text(docs), "documents")
+    text = settled(id_text(docs), "documents")
     learned = text.filter(learn)
     fitted, grammed, least = fit(learned, depth, visits)
     cut = least > 1
@@ -333,7 +331,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
     common = spark.sparkContext.broadcast((frequent.column("word").combine_chunks().cast(pa.large_string()), frequent.column("n").to_numpy()))
 
     def make():
-        scorer, context, seen = Scorer(model.value, cut), TaskContext.get(), [0]
+        scorer, context, seen = Scorer(model.value, cut, PLACES), TaskContext.get(), [0]
         words, n = common.value
         value, known = np.log10((n + 0.1) / spread), (n > 0).astype(float)
         ends = pc.index_in(pa.scalar("\n", pa.large_string()), words).as_py()
@@ -343,16 +341,14 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
             rows = part.num_rows
             rid = np.arange(seen[0], seen[0] + rows) | (context.partitionId() << 40)
             seen[0] += rows
-            code, sizes = grams(fold(part.column("text")), depth)
+            folded = fold(part.column("text"))
+            code, sizes = grams(folded, depth)
             value_of = scorer(code)
             rare = np.isnan(value_of)
             score = sum_by(np.where(rare, 0, value_of), sizes)
-            found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "").cast(pa.large_string())))
-            doc = np.repeat(np.arange(rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
-            coded = found.flatten().dictionary_encode()
+            doc = folded.doc
+            coded = word_strings(folded).dictionary_encode()
             place = coded.indices.to_numpy(zero_copy_only=False)
-            full = (pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False) > 0)[place]
-            doc, place = doc[full], place[full]
             at = pc.fill_null(pc.index_in(coded.dictionary, words), -1).to_numpy(zero_copy_only=False)[place]
             hit = at >= 0
             tokens = np.bincount(doc, minlength=rows) + 1

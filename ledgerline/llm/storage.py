@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FALLBACK = "file:///tmp/checkpoints"
+#: Column of numbered(): no table of ours has it.
+RID = "__rid"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the cluster names none."""
+    """The folder named by spark.checkpoint.dir; one of our own only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(named or FALLBACK).rstrip('/')}/ledgerline-{spark.sparkContext.applicationId}"
 
 
@@ -27,15 +32,49 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replayable(df: DataFrame, name: str) -> DataFrame:
-    """df if it is a plain scan, whose rows come in the same order each time it is read, so that they can be numbered; else a saved copy."""
-    todo, plain = [df._jdf.queryExecution().optimizedPlan()], {"Project", "Filter", "LogicalRelation"}
+def _plain_scan(df: DataFrame) -> bool:
+    try:
+        todo, plain = [df._jdf.queryExecution().optimizedPlan()], {"Project", "Filter", "LogicalRelation"}
+    except AttributeError:  # a session without a JVM at hand
+        return False
     while todo:
         node = todo.pop()
         if node.getClass().getSimpleName() not in plain:
-            return saved(df, name)
+            return False
         todo += [node.children().apply(i) for i in range(node.children().size())]
-    return df
+    return True
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df if it is a plain scan, which costs nothing to read again; else a saved copy."""
+    return df if _plain_scan(df) else saved(df, name)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a column RID that tells rows apart: made of a hash of the row's file and its place there, so it is the same
+    however often, by however many tasks and in whatever splits the rows are read. What is no plain scan of files is written first.
+
+    One small job reads no column: the hash's seed is one under which no two files meet.
+    """
+    if not _plain_scan(df) or "_metadata" in df.columns:
+        df = saved(df, name)
+    try:
+        meta = df.metadataColumn("_metadata")
+    except Exception:  # a table whose reader has no such column
+        df = saved(df, name)
+        meta = df.metadataColumn("_metadata")
+    file, row = meta.getField("file_path"), meta.getField("row_index")
+    files = df.select(file.alias("f"), row.alias("r")).groupBy("f").agg(F.max("r").alias("r"))
+    bits = F.length(F.bin(F.max("r")))
+    hashed = lambda f, seed: F.xxhash64(f, F.lit(seed))
+    for first in range(0, 64, 8):
+        got = files.agg(bits.alias("bits"), F.count("*").alias("n")).collect()[0] if first == 0 else got
+        shift = got.bits or 0
+        kinds = files.agg(*(F.count_distinct(F.shiftleft(hashed("f", first + i), shift)) for i in range(8))).first()
+        if got.n in kinds:
+            number = F.shiftleft(hashed(file, first + list(kinds).index(got.n)), shift).bitwiseOR(row)
+            return df.select("*", number.alias(RID))
+    raise ValueError(f"no seed tells {got.n} files of up to 2**{shift} rows apart")
 
 
 def clear(spark: SparkSession) -> None:

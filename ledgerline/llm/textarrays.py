@@ -42,6 +42,7 @@ class Folded:
     size: np.ndarray
     words: np.ndarray  # per document
     first: np.ndarray  # per document and one more: number of the first word
+    begin: np.ndarray  # of each word in the texts as they came, all on end
 
     @property
     def doc(self) -> np.ndarray:
@@ -70,7 +71,15 @@ def fold(texts: pa.Array) -> Folded:
     buf[sep] = SPACE
     words = np.diff(first)
     buf[sep[first[1:][words > 0] - 1]] = END
-    return Folded(buf, sep - size, size, words, first)
+    return Folded(buf, sep - size, size, words, first, starts)
+
+
+def word_strings(f: Folded) -> pa.Array:
+    """All words in lower case."""
+    keep = np.ones(len(f.buf), bool)
+    keep[f.start + f.size] = False
+    ends = np.append(0, np.cumsum(f.size)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(f.size), [None, pa.py_buffer(ends), pa.py_buffer(f.buf[keep])])
 
 
 def word_runs(f: Folded, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +174,19 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
             yield batch.slice(a, b - a)
 
 
+def slice_bytes() -> int:
+    """SLICE_BYTES as the driver has it now; functions sent to the executors carry it."""
+    return SLICE_BYTES
+
+
 def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     """df through mapInArrow, a slice at a time. make() is called once a task and gives the function from slice to output batches."""
+    most = slice_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 yield from work(part)
 
     return df.mapInArrow(run, schema)

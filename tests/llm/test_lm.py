@@ -93,6 +93,7 @@ def test_equal_to_plain_context_tree_weighting(spark, depth):
 @pytest.mark.parametrize("depth, visits", [(1, 0.5), (2, 0.05), (4, 0.02), (4, 1.0)])
 def test_rarely_visited_nodes_count(spark, monkeypatch, depth, visits):
     monkeypatch.setattr(lm, "GROUP", 20)
+    monkeypatch.setattr(lm, "PLACES", 3)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plain = Plain([t for i, t in enumerate(TEXTS) if i % 3 != 1], depth)
     got = {r.doc_id: r.score for r in lm.scores(df, F.col("doc_id") % 3 != 1, depth=depth, visits=visits).collect()}
@@ -136,3 +137,23 @@ def test_beats_the_base_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm.scores(docs, fold_of(10) != 0).filter(fold_of(10) == 0).agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_short_slices_and_long_texts_change_nothing(spark, monkeypatch):
+    long = " ".join(f"Wörd{i % 700} THE" for i in range(9000))
+    rows = [*enumerate(TEXTS), (100, long), (101, long.upper()), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {}
+    counts = Counter(w for i, t in rows if i % 3 != 1 for w in [*tokens(t), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in rows:
+        words = [*tokens(t), "\n"]
+        want[i] = (len(words), sum(counts[w] > 0 for w in words), sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words))
+    scores = []
+    for size in (64, 1 << 22):
+        monkeypatch.setattr("ledgerline.llm.textarrays.SLICE_BYTES", size)
+        got = {r.doc_id: r for r in lm.scores(df, F.col("doc_id") % 3 != 1, depth=2).collect()}
+        for i, (size_, known, base) in want.items():
+            assert (got[i].n_tokens, got[i].n_known) == (size_, known) and got[i].base_score == pytest.approx(base)
+        scores.append([got[i].score for i in want])
+    assert scores[0] == pytest.approx(scores[1])
