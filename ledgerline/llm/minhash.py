@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.storage import replayable, saved
+from ledgerline.llm.storage import saved, settled
 from ledgerline.llm.textarrays import P1, fold, map_slices, word_runs, xxh64
 
 WORDS, SIMILARITY = 5, 0.8
@@ -82,7 +82,7 @@ def joined(members: list[np.ndarray], similarity: float) -> list[tuple[int, int]
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    return replayable(docs, "documents").withColumn(RID, F.monotonically_increasing_id())
+    return settled(docs, "documents").withColumn(RID, F.monotonically_increasing_id())
 
 
 def links(classes: DataFrame, placed: DataFrame, words: int, similarity: float) -> DataFrame:

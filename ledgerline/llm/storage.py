@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 FALLBACK = "file:///tmp/checkpoints"
 #: Column of numbered(): no table of ours has it.
 RID = "__rid"
+#: Seeds tried for a hash that tells the files apart.
+SEEDS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,17 +66,14 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         df = saved(df, name)
         meta = df.metadataColumn("_metadata")
     file, row = meta.getField("file_path"), meta.getField("row_index")
-    files = df.select(file.alias("f"), row.alias("r")).groupBy("f").agg(F.max("r").alias("r"))
-    bits = F.length(F.bin(F.max("r")))
-    hashed = lambda f, seed: F.xxhash64(f, F.lit(seed))
-    for first in range(0, 64, 8):
-        got = files.agg(bits.alias("bits"), F.count("*").alias("n")).collect()[0] if first == 0 else got
-        shift = got.bits or 0
-        kinds = files.agg(*(F.count_distinct(F.shiftleft(hashed("f", first + i), shift)) for i in range(8))).first()
-        if got.n in kinds:
-            number = F.shiftleft(hashed(file, first + list(kinds).index(got.n)), shift).bitwiseOR(row)
-            return df.select("*", number.alias(RID))
-    raise ValueError(f"no seed tells {got.n} files of up to 2**{shift} rows apart")
+    files = saved(df.select(file.alias("f"), row.alias("r")).groupBy("f").agg(F.max("r").alias("r")), "files")
+    n, most = files.agg(F.count("*"), F.max("r")).first()
+    shift = int(most or 0).bit_length()
+    hashed = lambda f, seed: F.shiftleft(F.xxhash64(f, F.lit(seed)), shift)
+    kinds = list(files.agg(*(F.count_distinct(hashed("f", seed)) for seed in range(SEEDS))).first())
+    if n not in kinds:
+        raise ValueError(f"no seed tells {n} files of up to 2**{shift} rows apart: write them as fewer files")
+    return df.select("*", hashed(file, kinds.index(n)).bitwiseOR(row).alias(RID))
 
 
 def clear(spark: SparkSession) -> None:

@@ -1,20 +1,25 @@
-"""Suffix-array deduplication: bytes covered by a string of LENGTH bytes that also starts anywhere else.
+"""Suffix-array deduplication: symbols covered by a string of `length` symbols that also starts anywhere else.
 
-1. Every start of a string of LENGTH bytes takes as key the least hash of the GRAM-byte strings in it, so equal
-   strings take equal keys. Neighbouring starts of one key are a run; a run is kept as (key, hash of its bytes,
-   place), about one for every hundred and seventy bytes. This only narrows the search: no repeat is lost.
-2. Runs of equal bytes are one class. A class of several runs is repeated throughout; of a class of one run,
-   where its key has other classes, or where it holds its key's gram more than once, the bytes are fetched.
+Symbols are the bytes of a text, or its words (lower case, told apart by a 64-bit hash), so that a passage of words
+is found whatever its white space and however few bytes its words have.
+
+1. Every start of a string of `length` symbols takes as key the least hash of the `gram`-symbol strings in it, so equal
+   strings take equal keys. Neighbouring starts of one key, LONGEST at most, are a run; a run is kept as (key, hash of
+   its symbols, place). This only narrows the search: no repeat is lost.
+2. Runs of equal symbols are one class. A class of several runs is repeated throughout; of a class of one run,
+   where its key has other classes, or where it holds its key's gram more than once, the symbols are fetched.
 3. The fetched runs of a key meet in one task. There a suffix array gives the Burrows-Wheeler transform, and
    threshold-bounded interval expansion derives the common prefixes: intervals of strings are extended
    backwards breadth first, each new interval fixes the common prefix at its end, by increasing value, and the
-   expansion stops at LENGTH. What is not fixed by then has a common prefix of at least LENGTH: repeated.
-   A key of more than MOST_RUNS different runs is not gathered: its strings are counted by 128-bit digests in a
-   shuffle that combines equal ones first.
-
-Nulls and texts shorter than LENGTH have nothing removed. Repeated rows repeat each other. Strings are judged on
-the input, document by document; a doc_id may be null or repeated: rows are told apart by place. An empty table
-gives no rows; other columns are not read.
+   expansion stops at `length`. What is not fixed by then has a common prefix of at least `length`: repeated.
+   A key whose classes have more than MOST symbols is not gathered as it is: its runs are cut again by keys of another
+   hash, which equal strings share as well, and the parts go the same way. Parts that are still too large
+   (a passage with the same surroundings thousands of times) are counted by 128-bit digests in a shuffle that
+   combines equal ones first.
+
+Nulls and texts shorter than `length` have nothing removed. Repeated rows repeat each other. Strings are judged on
+the input, document by document; a doc_id may be null or repeated: rows are told apart by file and place. An empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,18 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import replayable, saved
-from ledgerline.llm.textarrays import ragged, raw_bytes, slices, sum_by
+from ledgerline.llm.storage import RID, numbered, saved
+from ledgerline.llm.textarrays import fold, ragged, raw_bytes, slices, sum_by, xxh64
 
 LENGTH, GRAM = 400, 64
-#: Different runs of a key that one task takes together, and bytes that one transform takes.
-MOST_RUNS, BLOCK_BYTES = 20_000, 1_500_000
+#: Words of a passage that is repeated, and of the strings whose hashes are its keys.
+PASSAGE, PASSAGE_GRAM = 50, 8
+#: Starts in a run at most; symbols of a key's classes that one task takes together; symbols after which a transform is made.
+LONGEST, MOST, BLOCK = 1 << 16, 1 << 22, 1 << 20
 #: Text bytes hashed at once: some twenty numbers of eight bytes are held for each.
 HASHED_BYTES = 1 << 20
 RUNS = "rid long, key long, body long, lo long, hi long, twice boolean"
 U = np.uint64
 
 
+def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts on end, and the offsets of each text's."""
+    return raw_bytes(texts)
+
+
+def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    f = fold(texts)
+    return xxh64(f.buf, f.start, f.size), f.first
+
+
+SYMBOLS = {"byte": (byte_symbols, np.uint8), "word": (word_symbols, U)}
+
+
 class Roller:
     """Hashes of substrings of a byte array from one running sum."""
 
@@ -44,6 +64,7 @@ class Roller:
 
     def __init__(self, seed: int = 1):
         self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, U)
+        self.factor = self.table[0] | U(1)  # for symbols that are hashes already
         self.up = self.down = np.ones(1, U)
 
     def load(self, data: np.ndarray) -> "Roller":
@@ -51,7 +72,8 @@ class Roller:
             n = len(data) + 1
             self.up = np.cumprod(np.append(U(1), np.full(n, U(self.BASE))))
             self.down = np.cumprod(np.append(U(1), np.full(n, U(pow(self.BASE, -1, 1 << 64)))))
-        self.sums = np.append(U(0), np.cumsum(self.table[data] * self.up[: len(data)]))
+        values = self.table[data] if data.dtype == np.uint8 else data * self.factor
+        self.sums = np.append(U(0), np.cumsum(values * self.up[: len(data)]))
         return self
 
     def hash(self, lo: np.ndarray | slice, hi: np.ndarray | slice) -> np.ndarray:
@@ -88,6 +110,10 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int, gram: int, roller: R
     new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(at)) - 1
+    pieces = (hi - lo) // LONGEST + 1
+    if len(lo) < pieces.sum():
+        lo = ragged(np.zeros(len(lo), np.int64), pieces) * LONGEST + np.repeat(lo, pieces)
+        hi = np.minimum(lo + LONGEST - 1, np.repeat(hi, pieces))
     first, last, d = at[lo], at[hi], doc[lo]
     body = roller.hash(first, last + length) ^ (last - first).astype(U)
     edge = np.full(width - 1, ~U(0))
@@ -109,13 +135,15 @@ def _order(key: np.ndarray, most: int) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first `depth` symbols at least, ties in any order. text: symbols below 512, the last one the least and there once."""
+    """Rank of every suffix by its first `depth` symbols at least, ties in any order. text: small numbers, the last one the least and there once."""
     n = len(text)
+    bits = int(text.max()).bit_length()
+    h = max(1, min(4, 36 // bits))
     symbols = np.append(text, np.zeros(8, text.dtype)).astype(np.int64)
-    key, h = np.zeros(n, np.int64), 4
+    key = np.zeros(n, np.int64)
     for j in range(h):
-        key = key << 9 | symbols[j : j + n]
-    most = (1 << 36) - 1
+        key = key << bits | symbols[j : j + n]
+    most = (1 << bits * h) - 1
     while True:
         order = _order(key, most)
         ranks = np.cumsum(np.append(False, np.diff(key[order]) != 0))
@@ -159,11 +187,12 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
 
 
 def repeated_starts(bodies: list[np.ndarray], length: int) -> list[np.ndarray]:
-    """For each body, whether the string of `length` bytes at each of its starts is there twice."""
+    """For each body, whether the string of `length` symbols at each of its starts is there twice."""
     sizes = np.array([len(b) for b in bodies])
     text = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
     begin = np.cumsum(sizes + 1) - sizes
-    text[ragged(begin, sizes)] = np.concatenate(bodies).astype(np.int64) + 2
+    symbols = np.concatenate(bodies)
+    text[ragged(begin, sizes)] = (symbols.astype(np.int64) if symbols.dtype == np.uint8 else np.unique(symbols, return_inverse=True)[1]) + 2
     text[begin - 1] = 1
     order, prefix = common_prefixes(text, length)
     again = prefix < 0
@@ -180,84 +209,117 @@ def _ranges(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _placed(docs: DataFrame, *more: str) -> DataFrame:
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return replayable(columns, "documents").withColumn("rid", F.monotonically_increasing_id())
+    return numbered(columns, "documents").withColumnRenamed(RID, "rid")
 
 
-def duplicate_ranges(placed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def duplicate_ranges(placed: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "byte") -> DataFrame:
     """rid, lo, hi: ranges of starts of repeated strings. placed: rid, text."""
+    symbols, kind = SYMBOLS[unit]
 
     def find(batches):
         roller = Roller()
         for batch in batches:
             for part in slices(batch, most=HASHED_BYTES):
-                doc, key, *rest = runs_of(*raw_bytes(part.column("text")), length, gram, roller)
+                doc, key, *rest = runs_of(*symbols(part.column("text")), length, gram, roller)
                 yield pa.RecordBatch.from_arrays([part.column("rid").take(pa.array(doc)), *map(pa.array, (key, *rest))], names=["rid", "key", "body", "lo", "hi", "twice"])
 
     runs = saved(placed.select("rid", "text").mapInArrow(find, RUNS), "runs")
-    one = F.min(F.struct("rid", "lo", "hi", "twice")).alias("at")
-    classes = runs.groupBy("key", "body").agg(F.count("*").alias("n"), one)
-    kinds = classes.groupBy("key").agg(F.count("*").alias("kinds"))
-    asked = classes.join(kinds, "key").filter((F.col("kinds") > 1) | ((F.col("n") == 1) & F.col("at.twice")))
-    asked = saved(asked.select("key", "n", "kinds", "at.rid", "at.lo", "at.hi"), "asked")
+    classes = runs.groupBy("key", "body").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi", "twice")).alias("at"))
+    size = F.col("at.hi") - F.col("at.lo") + length
+    keys = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(size).alias("symbols"))
+    asked = classes.join(keys, "key").filter((F.col("kinds") > 1) | ((F.col("n") == 1) & F.col("at.twice")))
+    asked = saved(asked.select("key", "n", "symbols", "at.rid", "at.lo", "at.hi"), "asked")
     copies = classes.filter("n > 1").select("key", "body")
     whole = runs.join(copies, ["key", "body"], "left_semi").select("rid", "lo", "hi")
 
-    want = F.struct("key", "n", "kinds", "lo", "hi")
+    want = F.struct("key", "n", "symbols", "lo", "hi")
     bodies = asked.groupBy("rid").agg(F.collect_list(want).alias("wanted")).join(placed.select("rid", "text"), "rid")
 
     def fetch(batches):
         for batch in batches:
             for part in slices(batch):
-                texts, wanted = part.column("text"), part.column("wanted")
-                data, off = raw_bytes(texts)
+                wanted = part.column("wanted")
+                data, off = symbols(part.column("text"))
                 rows = np.repeat(np.arange(part.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
                 got = wanted.flatten()
                 lo, hi = got.field("lo").to_numpy(), got.field("hi").to_numpy()
                 a, b = off[rows] + lo, off[rows] + hi + length
-                for k in range(0, len(rows), 4096):
-                    x, y = a[k : k + 4096], b[k : k + 4096]
-                    ends = np.append(0, np.cumsum(y - x))
-                    body = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[ragged(x, y - x)])])
-                    piece = got.slice(k, len(x))
-                    yield pa.RecordBatch.from_arrays([piece.field("key"), piece.field("n"), piece.field("kinds"), part.column("rid").take(pa.array(rows[k : k + 4096])), piece.field("lo"), body], names=["key", "n", "kinds", "rid", "lo", "bytes"])
-
-    fetched = bodies.select("rid", "wanted", "text").mapInArrow(fetch, "key long, n long, kinds long, rid long, lo long, bytes binary")
-    hot = asked.filter(F.col("kinds") > MOST_RUNS).limit(1).count() > 0
-    if hot:
-        fetched = saved(fetched, "bodies")
+                for x in range(0, len(rows), 4096):
+                    piece = got.slice(x, 4096)
+                    columns = [piece.field("key"), piece.field("n"), piece.field("symbols"), part.column("rid").take(pa.array(rows[x : x + 4096])), piece.field("lo"), _binary(data, a[x : x + 4096], b[x : x + 4096])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "symbols", "rid", "lo", "data"])
+
+    fetched = bodies.select("rid", "wanted", "text").mapInArrow(fetch, BODIES)
+    hot = asked.filter(F.col("symbols") > MOST).limit(1).count() > 0
+    if not hot:
+        return whole.union(_expanded(fetched, length, kind))
+    fetched = saved(fetched, "bodies")
+    parts = saved(_cut_again(fetched.filter(F.col("symbols") > MOST), length, gram, kind), "parts")
+    sizes = parts.groupBy("key").agg(F.sum(F.octet_length("data") / kind().itemsize).cast("long").alias("symbols"))
+    parts = parts.drop("symbols").join(sizes, "key").select(fetched.columns)
+    small = fetched.filter(F.col("symbols") <= MOST).union(parts.filter(F.col("symbols") <= MOST))
+    return whole.union(_expanded(small, length, kind)).union(_by_digest(parts.filter(F.col("symbols") > MOST), length, kind))
+
+
+BODIES = "key long, n long, symbols long, rid long, lo long, data binary"
+
+
+def _binary(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """data[a:b] for each pair, as its bytes."""
+    ends = np.append(0, np.cumsum(b - a)) * data.itemsize
+    body = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[ragged(a, b - a)])])
+    return body.cast(pa.binary())
+
+
+def _expanded(fetched: DataFrame, length: int, kind: type) -> DataFrame:
+    """rid, lo, hi of repeated starts among the bodies of each key, for those of classes of one run."""
 
     def expand(batches):
         open_: list[tuple] = []
         held = 0
 
         def work():
-            flags = repeated_starts([np.frombuffer(o[4], np.uint8) for o in open_], length)
+            flags = repeated_starts([np.frombuffer(o[4], kind) for o in open_], length)
             found = [(o[2], o[3] + a, o[3] + b) for o, f in zip(open_, flags) if o[1] == 1 for a, b in zip(*_ranges(f))]
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["rid", "lo", "hi"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "rid", "lo", "bytes"))):
-                if held > BLOCK_BYTES and row[0] != open_[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "rid", "lo", "data"))):
+                if held > BLOCK and row[0] != open_[-1][0]:
                     yield work()
                     open_, held = [], 0
                 open_.append(row)
-                held += len(row[4])
+                held += len(row[4]) // kind().itemsize
         if open_:
             yield work()
 
-    met = fetched.filter(F.col("kinds") <= MOST_RUNS).repartition("key").sortWithinPartitions("key")
-    ranges = whole.union(met.mapInArrow(expand, "rid long, lo long, hi long"))
-    return ranges.union(_by_digest(fetched.filter(F.col("kinds") > MOST_RUNS), length)) if hot else ranges
+    return fetched.repartition("key").sortWithinPartitions("key").mapInArrow(expand, "rid long, lo long, hi long")
+
+
+def _cut_again(fetched: DataFrame, length: int, gram: int, kind: type) -> DataFrame:
+    """The bodies cut into runs by keys of another hash: strings that are equal share the new key too, which also holds the old one."""
+
+    def cut(batches):
+        roller = Roller(2)
+        for batch in batches:
+            for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                data = np.frombuffer(one.column("data")[0].as_py(), kind)
+                _, key, _, lo, hi, _ = runs_of(data, np.array([0, len(data)]), length, gram, roller)
+                old = one.column("key").to_numpy()[0]
+                same = [pa.array(np.repeat(one.column(c).to_numpy(), len(key))) for c in ("n", "symbols", "rid")]
+                yield pa.RecordBatch.from_arrays([pa.array(key ^ (old << 1 ^ old >> 3)), *same, pa.array(one.column("lo").to_numpy()[0] + lo), _binary(data, lo, hi + length)], names=["key", "n", "symbols", "rid", "lo", "data"])
 
+    return fetched.mapInArrow(cut, BODIES)
 
-def _by_digest(fetched: DataFrame, length: int) -> DataFrame:
+
+def _by_digest(fetched: DataFrame, length: int, kind: type) -> DataFrame:
     """rid, lo, hi of the strings that are in several runs of fetched, by 128-bit digests."""
 
     def digests(batches):
         one, two = Roller(11), Roller(12)
         for batch in batches:
-            for rid, lo, n, body in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "n", "bytes"))):
-                data = np.frombuffer(body, np.uint8)
+            for rid, lo, n, body in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "n", "data"))):
+                data = np.frombuffer(body, kind)
                 at = np.arange(len(data) - length + 1)
                 a, b = one.load(data).hash(at, at + length), two.load(data).hash(at, at + length)
                 rows = len(at)
@@ -270,23 +332,30 @@ def _by_digest(fetched: DataFrame, length: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and end of the bytes removed), kept (the bytes left, on end)."""
-    return _cut(_placed(docs), "doc_id", "long", length, gram)
-
+    return _cut(_placed(docs), "doc_id", "long", length, gram, "byte")
 
-def shortened(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with the bytes left as text, characters cut in two dropped, and n_chars, if there, their number."""
-    rest = F.struct(*(docs[c] for c in docs.columns if c != "text"))
-    placed = _placed(docs.withColumns({"__rest": rest}).select("text", F.lit(None).cast("long").alias("doc_id"), "__rest"), "__rest")
-    cut = _cut(placed, "__rest", rest_type(docs), length, gram)
-    # bytes of whole characters decode as they are; a character that a cut has split is dropped
-    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(_whole_characters(F.col("kept")))
-    columns = {c: F.col(f"__rest.{c}") for c in docs.columns if c != "text"} | {"text": text}
-    out = cut.select(*(columns[c].alias(c) for c in docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
+def shortened(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM, unit: str = "word") -> DataFrame:
+    """docs without the passages of at least `length` words (or bytes) that are anywhere else too; n_chars, if there, is counted anew.
 
-def rest_type(docs: DataFrame) -> str:
-    return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ">"
+    A word goes with the white space up to the next one; of bytes, characters cut in two are dropped. Other texts stay as they are, nulls too.
+    """
+    names = docs.columns
+    rest = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = names.index("text")
+    others = [f"c{i}" for i in range(len(names)) if i != at]
+    packed = rest.select(F.struct(F.col(f"c{at}").isNull().alias("none"), *others).alias("__rest"), F.col(f"c{at}").alias("text"), F.lit(None).cast("long").alias("doc_id"))
+    kind = packed.schema["__rest"].dataType.simpleString()
+    cut = _cut(_placed(packed, "__rest"), "__rest", kind, length, gram, unit)
+    # bytes of whole characters decode as they are; a character that a cut has split is dropped
+    kept = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(kept), kept).otherwise(_whole_characters(F.col("kept")))
+    out = cut.select(F.when(~F.col("__rest.none"), text).alias("text"), "__rest", (F.size("spans") > 0).alias("changed"))
+    columns = [F.col("text") if i == at else F.col(f"__rest.c{i}") for i in range(len(names))]
+    if "n_chars" in names:
+        i = names.index("n_chars")
+        columns[i] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns[i])
+    return out.select(*(c.alias(n) for c, n in zip(columns, names)))
 
 
 def _whole_characters(raw):
@@ -294,18 +363,28 @@ def _whole_characters(raw):
     return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\uFFFD", "")
 
 
-def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int) -> DataFrame:
-    ranges = duplicate_ranges(placed, length, gram).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int, unit: str) -> DataFrame:
+    """carried, n_bytes, spans, kept."""
+    ranges = duplicate_ranges(placed, length, gram, unit).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = placed.join(ranges, "rid", "left").select(carried, "text", "ranges")
 
+    def places(texts: pa.Array, data: np.ndarray, off: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        if unit == "byte":
+            return off[rows] + lo, off[rows] + hi + length
+        f = fold(texts)
+        begin = np.append(f.begin, len(data))
+        first, last = f.first[rows] + lo, f.first[rows] + hi + length
+        return begin[first], np.where(last < f.first[rows + 1], begin[last], off[rows + 1])
+
     def cut(batches):
         for batch in batches:
             for part in slices(batch):
-                data, off = raw_bytes(part.column("text"))
+                texts = part.column("text")
+                data, off = raw_bytes(texts)
                 given = part.column("ranges")
                 rows = np.repeat(np.arange(part.num_rows), np.nan_to_num(given.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
                 got = given.flatten()
-                lo, hi = off[rows] + got.field("lo").to_numpy(), off[rows] + got.field("hi").to_numpy() + length
+                lo, hi = places(texts, data, off, rows, got.field("lo").to_numpy(), got.field("hi").to_numpy())
                 edge = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, hi, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import suffix
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_simhash import classes_of, reference_fp
-from tests.llm.test_suffix import brute as cut
+from tests.llm.test_suffix import passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,8 +32,8 @@ def test_stages_equal_brute_force(spark):
 
     out = corpus_pipeline.STAGES[2][1](spark, out, SF)
     third = rows(out)
-    want = [b.decode(errors="ignore") for _, _, _, b in cut([r[1] for r in second], 400)]
-    assert out.columns == columns and third == [(r[0], t, r[2], r[3], len(t)) for r, t in zip(second, want)]
+    want = passages([r[1] for r in second], 50)
+    assert out.columns == columns and third == [(r[0], t, r[2], r[3], r[4] if t == r[1] else len(t)) for r, t in zip(second, want)]
 
     out = corpus_pipeline.STAGES[3][1](spark, out, SF)
     fourth = rows(out)
@@ -56,6 +56,6 @@ def test_run_equals_the_stages(spark):
 def test_split_characters_are_dropped(spark):
     text = "é" * 30
     df = spark.createDataFrame([(1, "x" + text, "a", 3), (2, "é" + "yx" + text, "b", 4)], "doc_id long, text string, kept string, n_chars int")
-    got = {r.doc_id: r for r in suffix.shortened(df, length=20, gram=5).collect()}
+    got = {r.doc_id: r for r in suffix.shortened(df, length=20, gram=5, unit="byte").collect()}
     for i, t in ((1, "x" + text), (2, "é" + "yx" + text)):
         assert re.fullmatch("é?y?", got[i].text) and got[i].n_chars == len(got[i].text) and t
