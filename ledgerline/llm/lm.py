@@ -40,6 +40,8 @@ VISITS = 2.0**-20
 FREQUENT = 2.0**-20
 #: Entries that one task sums up before it merges them, and bits of the number of grams whose score one worker remembers.
 MERGE, PLACES = 3_000_000, 22
+#: Slices are that much smaller than those of other operators: some thirty numbers of eight bytes are held for each byte.
+PARTS = 4
 #: Grams whose nodes are held at once where rare grams are scored, but for those under one two-byte context.
 GROUP = 100_000
 U = np.uint64
@@ -132,7 +134,7 @@ def _batch(d: int, node, n0, n1, weighted, stop, keep=slice(None)) -> pa.RecordB
 
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     """code, n over all documents given."""
-    most = slice_bytes()
+    most = max(1, slice_bytes() // PARTS)
 
     def run(batches):
         held = [(np.empty(0, U), np.empty(0, np.int64))]
@@ -293,7 +295,7 @@ def rare_values(asked: DataFrame, counts: DataFrame, broadcast, depth: int) -> D
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all documents given; the end is the word "\\n"."""
-    most = slice_bytes()
+    most = max(1, slice_bytes() // PARTS)
 
     def run(batches):
         held: list[pa.Table] = []
@@ -374,7 +376,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
 
         return work
 
-    parts = map_slices(text, make, "rid long, word string, tf long, code long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    parts = map_slices(text, make, parts=PARTS, schema="rid long, word string, tf long, code long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
     if cut:
         parts = saved(parts, "parts")
         deep = parts.filter("code IS NOT NULL").select("rid", "tf", "code")

@@ -179,9 +179,9 @@ def slice_bytes() -> int:
     return SLICE_BYTES
 
 
-def map_slices(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """df through mapInArrow, a slice at a time. make() is called once a task and gives the function from slice to output batches."""
-    most = slice_bytes()
+def map_slices(df: DataFrame, make: Callable, schema: str, parts: int = 1) -> DataFrame:
+    """df through mapInArrow, a slice at a time. make() is called once a task and gives the function from slice to output batches. parts: slices are that much smaller."""
+    most = max(1, slice_bytes() // parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
