@@ -7,12 +7,14 @@ node the bits counted give a Krichevsky-Trofimov estimate; the weighted probabil
 own estimate's block probability and the product of its children's, so all depths are mixed by how well each
 explained the corpus. Scores add up log10 of the mixed predictions, and never leave zero for unseen bytes.
 
-Counting: the byte (DEPTH+1)-grams of all learned documents, summed in each task, then by a shuffle; trees are
-weighted from the leaves up inside partitions that hold all nodes under a two-byte context, and the last two
-levels by two small aggregations. Every counted node takes part in prediction. Nodes visited in at least VISITS of all
-coded bytes, at most 8 * (DEPTH + 1) / VISITS of them, are sent to the executors, and so are all with a context of
-under two bytes. A gram whose deepest nodes are among them is scored at once; every other gram of a document meets
-all nodes under its two-byte context in the partition that counts them, and its value is joined back.
+Counting: the byte (DEPTH+1)-grams of all learned documents, summed in each task, then by a shuffle; they are dealt into
+buckets by the last two bytes of their context, as many as keep a bucket near BUCKET grams. Trees are weighted from the
+leaves up, a bucket at a time, and the last two levels by two small aggregations. Every counted node takes part in
+prediction. Of those visited in at least VISITS of all coded bytes the most visited, KEPT at most, are sent to the
+executors, and so are all with a context of under two bytes (65,535 at most). A gram whose deepest nodes are among them is
+scored at once; every other gram of a document travels in an array to its bucket, meets all nodes of the bucket there,
+and comes back as one sum for each document and bucket. A bucket is worked on by several tasks, each with a copy of its
+counts, where the texts came in more than TASKS tasks.
 
 Base: unigram counts of all words; those that make up at least FREQUENT of all tokens, so at most 1 / FREQUENT
 words, are sent to the executors, and the others' (document, word) pairs are joined with the counts, so no word is
@@ -36,14 +38,16 @@ from ledgerline.llm.storage import saved, settled
 from ledgerline.llm.textarrays import END, Folded, fold, id_text, map_slices, slice_bytes, slices, sum_by, word_strings
 
 DEPTH = 5
-VISITS = 2.0**-20
+VISITS = 2.0**-22
+#: Nodes sent to the executors at most (16 bytes each), besides those of the first two levels.
+KEPT = 1 << 22
+#: Grams of a bucket, as far as two bytes of context can tell them apart; input tasks that share one copy of a bucket.
+BUCKET, TASKS = 1 << 17, 1024
 FREQUENT = 2.0**-20
 #: Entries that one task sums up before it merges them, and bits of the number of grams whose score one worker remembers.
 MERGE, PLACES = 3_000_000, 22
 #: Slices are that much smaller than those of other operators: some thirty numbers of eight bytes are held for each byte.
 PARTS = 4
-#: Grams whose nodes are held at once where rare grams are scored, but for those under one two-byte context.
-GROUP = 100_000
 U = np.uint64
 NODES = "depth int, node long, n0 long, n1 long, weighted double, stop double"
 
@@ -216,25 +220,84 @@ class Scorer:
         return value
 
 
-def recent_of(top: int) -> Column:
-    """The last bytes of a code's context, under which partitions hold whole subtrees."""
-    return F.col("code").bitwiseAND(F.lit((1 << (8 * (top + 1))) - 256).cast("long"))
+def buckets_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a two-byte context: neighbouring contexts fall apart."""
+    return ((context * U(40503) & U(0xFFFF)) % U(buckets)).astype(np.int32)
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Model, DataFrame, float]:
-    """Kept nodes of the context tree of all documents given, the counted grams, and the visits of a kept node."""
+def _context(code: np.ndarray, top: int) -> np.ndarray:
+    return code >> U(8) & U((1 << 8 * top) - 1)
+
+
+BLOBS = "bucket int, copy int, base long, at binary, code binary, n binary"
+
+
+def _blob(data: np.ndarray, cuts: list[int]) -> pa.Array:
+    """The bytes of data between the cuts."""
+    ends = np.array(cuts, np.int64) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def _cuts(sorted_keys: np.ndarray) -> list[int]:
+    return [*np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])).tolist(), len(sorted_keys)] if len(sorted_keys) else [0]
+
+
+def count_blobs(counts: DataFrame, buckets: int, copies: int, top: int) -> DataFrame:
+    """counts (code, n) as arrays by bucket, each for every copy."""
+
+    def run(batches):
+        for b in batches:
+            code, n = b.column("code").to_numpy().view(U), b.column("n").to_numpy()
+            bucket = buckets_of(_context(code, top), buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = _cuts(bucket[order])
+            m = len(cuts) - 1
+            for copy in range(copies):
+                columns = [pa.array(bucket[order][cuts[:-1]]), pa.array(np.full(m, copy, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), _blob(code[order], cuts), _blob(n[order], cuts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "copy", "base", "at", "code", "n"])
+
+    return counts.select("code", "n").mapInArrow(run, BLOBS)
+
+
+def by_bucket(batches):
+    """(counted codes, their counts, the arrays asked for them) of each bucket; the latter as an iterator to be used up. Rows come in order of bucket, copy and base, counts first."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "copy", "base", "at", "code", "n"))))
+    row = next(rows, None)
+    while row is not None:
+        here, codes, n = row[:2], [np.empty(0, U)], [np.empty(0, np.int64)]
+        while row is not None and row[:2] == here and row[2] is None:
+            codes.append(np.frombuffer(row[4], U))
+            n.append(np.frombuffer(row[5], np.int64))
+            row = next(rows, None)
+
+        def asked():
+            nonlocal row
+            while row is not None and row[:2] == here:  # noqa: B023
+                yield row[2], np.frombuffer(row[3], np.int32), np.frombuffer(row[4], U), np.frombuffer(row[5], np.int32)
+                row = next(rows, None)
+
+        yield np.concatenate(codes), np.concatenate(n), asked()
+        for _ in asked():
+            pass
+
+
+def _dealt(blobs: DataFrame) -> DataFrame:
+    return blobs.repartition("bucket", "copy").sortWithinPartitions("bucket", "copy", "base")
+
+
+def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Model, DataFrame, int, float]:
+    """Kept nodes of the context tree of all documents given, the counted grams, their buckets, and the visits of a kept node."""
     top = min(2, depth)
     counts = saved(gram_counts(id_text(docs), depth), "grams")
-    coded = counts.agg(F.sum("n")).first()[0] or 0
-    least = visits * coded
+    coded, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets, least = max(1, -(-kinds // BUCKET)), visits * coded
 
     def weigh_subtrees(batches):
-        got = [(b.column("code").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
-        if got:
-            for d, node, n0, n1, weighted, stop in subtree(*map(np.concatenate, zip(*got)), depth, top):
+        for code, n, _ in by_bucket(batches):
+            for d, node, n0, n1, weighted, stop in subtree(code, n, depth, top):
                 yield _batch(d, node, n0, n1, weighted, stop, slice(None) if d == top else n0 + n1 >= least)
 
-    nodes = saved(counts.repartition(recent_of(top)).mapInArrow(weigh_subtrees, NODES), "nodes")
+    nodes = saved(_dealt(count_blobs(counts, buckets, 1, top)).mapInArrow(weigh_subtrees, NODES), "nodes")
     frames, level = [nodes], nodes.filter(F.col("depth") == top)
     for d in range(top - 1, -1, -1):
         up = level.groupBy(F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1).cast("long")).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
@@ -246,51 +309,47 @@ def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Mo
 
         level = saved(up.mapInArrow(weigh_level, NODES), "nodes")
         frames.append(level)
+    seen = F.col("n0") + F.col("n1")
+    sizes = nodes.filter(seen >= least).groupBy(F.floor(F.log2(seen)).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect()  # at most 64 rows
+    room = KEPT
+    for power, n in sizes:
+        room -= n
+        if room < 0:
+            least = 2.0 ** (power + 1)
+            break
     levels = []
     for d in range(depth + 1):
         frame = frames[0] if d >= top else frames[top - d]
-        kept = frame.filter((F.col("depth") == d) & (F.col("n0") + F.col("n1") >= (least if d >= top else 0)))
-        one = ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float")
-        got = kept.select("node", one.alias("one"), F.col("stop").cast("float").alias("stop")).toArrow()  # at most 8 / visits rows
+        kept = frame.filter((F.col("depth") == d) & (seen >= (least if d >= top else 0)))
+        one = ((F.col("n1") + 0.5) / (seen + 1)).cast("float")
+        got = kept.select("node", one.alias("one"), F.col("stop").cast("float").alias("stop")).toArrow()  # at most KEPT rows, or the first levels
         key = got.column("node").to_numpy().view(U)
         order = np.argsort(key)
         levels.append((key[order], got.column("one").to_numpy()[order], got.column("stop").to_numpy()[order]))
-    return Model(depth, levels), counts, least
+    return Model(depth, levels), counts, buckets, least
 
 
-def rare_values(asked: DataFrame, counts: DataFrame, broadcast, depth: int) -> DataFrame:
-    """code, value: log10 of the probability of each gram asked for, by all counted nodes."""
+def rare_scores(asked: DataFrame, counts: DataFrame, buckets: int, copies: int, broadcast, depth: int) -> DataFrame:
+    """rid, score: the summed log10 of the probabilities of the grams asked for, by all counted nodes, a row for each bucket of a document."""
     top = min(2, depth)
+    nothing = (np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32))
 
     def run(batches):
-        got = [(b.column("code").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
-        if not got:
-            return
-        code, n = map(np.concatenate, zip(*got))
-        recent = code & U((1 << (8 * (top + 1))) - 256)
-        order = np.argsort(recent, kind="stable")
-        code, n, recent = code[order], n[order], recent[order]
-        first = np.flatnonzero(np.append(True, recent[1:] != recent[:-1]))
-        ends = np.append(first[1:], len(code))
-        part = ends // GROUP
-        stops = ends[np.append(part[1:] != part[:-1], True)]
-        for a, b in zip(np.append(0, stops[:-1]), stops):
-            held, want = n[a:b] > 0, code[a:b][n[a:b] == 0]
-            if not len(want):
-                continue
-            levels = list(broadcast.value.levels)
-            for d in range(top, depth + 1):
-                levels[d] = (np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32))
-            if held.any():
-                for d, node, n0, n1, _, stop in subtree(code[a:b][held], n[a:b][held], depth, top):
-                    levels[d] = (node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32))
-            model = Model(depth, levels)
-            for k in range(0, len(want), GROUP):
-                some = want[k : k + GROUP]
-                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(model.log10(some))], names=["code", "value"])
-
-    both = counts.select("code", "n").union(asked.select("code", F.lit(0).cast("long").alias("n")))
-    return both.repartition(recent_of(top)).mapInArrow(run, "code long, value double")
+        for code, n, blobs in by_bucket(batches):
+            model = None
+            for base, at, want, times in blobs:
+                if model is None:
+                    levels = [*broadcast.value.levels[:top], *[nothing] * (depth + 1 - top)]
+                    for d, node, n0, n1, _, stop in subtree(code, n, depth, top) if len(code) else ():
+                        levels[d] = (node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32))
+                    model = Model(depth, levels)
+                found, place = np.unique(want, return_inverse=True)
+                value = model.log10(found)[place] * times
+                doc, back = np.unique(at, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(base + doc.astype(np.int64)), pa.array(np.bincount(back, value, len(doc)))], names=["rid", "score"])
+
+    both = count_blobs(counts, buckets, copies, top).union(asked.select("bucket", "copy", "base", "at", "code", "n"))
+    return _dealt(both).mapInArrow(run, "rid long, score double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -323,9 +382,10 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
     spark = docs.sparkSession
     text = settled(id_text(docs), "documents")
     learned = text.filter(learn)
-    fitted, grammed, least = fit(learned, depth, visits)
-    cut = least > 1
+    fitted, grammed, buckets, least = fit(learned, depth, visits)
+    cut, top = least > 1, min(2, depth)
     model = spark.sparkContext.broadcast(fitted)
+    copies = -(-text.rdd.getNumPartitions() // TASKS) if cut else 1
     counts = saved(word_counts(learned), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     spread = 0.1 * (kinds + 1) + total
@@ -356,44 +416,50 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
             tokens = np.bincount(doc, minlength=rows) + 1
             base = np.bincount(doc[hit], value[at[hit]], rows) + end[0]
             sure = np.bincount(doc[hit], known[at[hit]], rows).astype(np.int64) + end[1]
-            nothing = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid), pa.array([f" {r}" for r in rid]), nothing, nothing, part.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(sure), pa.array(base), pa.array(score)], names=NAMES
-            )
+            yield _columns(rows, rid=rid, word=pa.array([f" {r}" for r in rid]), doc_id=part.column("doc_id"), n_bytes=sizes, n_tokens=tokens, n_known=sure, base_score=base, score=score)
             width = max(len(coded.dictionary), 1)
             key, tf = np.unique(doc[~hit] * width + place[~hit], return_counts=True)
-            m = len(key)
-            blank = [pa.nulls(m, t) for t in (pa.int64(),) * 5 + (pa.float64(),) * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[key // width]), coded.dictionary.take(pa.array(key % width)).cast(pa.string()), pa.array(tf), *blank], names=NAMES)
+            yield _columns(len(key), rid=rid[key // width], word=coded.dictionary.take(pa.array(key % width)).cast(pa.string()), tf=tf)
             if rare.any():
-                at, asked = np.repeat(np.arange(rows), sizes)[rare], code[rare]
-                order = np.lexsort((asked, at))
-                at, asked = at[order], asked[order]
+                at, asked = np.repeat(np.arange(rows, dtype=np.int32), sizes)[rare], code[rare]
+                bucket = buckets_of(_context(asked, top), buckets)
+                order = np.lexsort((asked, at, bucket))
+                at, asked, bucket = at[order], asked[order], bucket[order]
                 first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (asked[1:] != asked[:-1])))
-                m = len(first)
-                blank = [pa.nulls(m, t) for t in (pa.int64(),) * 4 + (pa.float64(),) * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[at[first]]), pa.nulls(m, pa.string()), pa.array(np.diff(np.append(first, len(at)))), pa.array(asked[first].view(np.int64)), *blank], names=NAMES)
+                times = np.diff(np.append(first, len(at))).astype(np.int32)
+                at, asked, bucket = at[first], asked[first], bucket[first]
+                cuts = _cuts(bucket)
+                m = len(cuts) - 1
+                yield _columns(m, bucket=bucket[cuts[:-1]], copy=np.full(m, context.partitionId() % copies, np.int32), base=np.full(m, rid[0]), at=_blob(at, cuts), code=_blob(asked, cuts), n=_blob(times, cuts))
 
         return work
 
-    parts = map_slices(text, make, parts=PARTS, schema="rid long, word string, tf long, code long, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    parts = map_slices(text, make, parts=PARTS, schema=", ".join(f"{k} {v}" for k, v in PARTS_SCHEMA.items()))
     if cut:
         parts = saved(parts, "parts")
-        deep = parts.filter("code IS NOT NULL").select("rid", "tf", "code")
-        parts = parts.filter("code IS NULL")
+        blobs = parts.filter("bucket IS NOT NULL")
+        parts = parts.filter("bucket IS NULL")
+    parts = parts.select("rid", "word", "tf", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score")
     joined = parts.join(counts, "word", "left")
     times = F.coalesce("n", F.lit(0))
     base = F.coalesce("base_score", F.col("tf") * F.log10((times + 0.1) / F.lit(spread)))
     sure = F.coalesce("n_known", F.when(times > 0, F.col("tf")).otherwise(0))
     rows = joined.select("rid", "doc_id", "n_bytes", "n_tokens", sure.alias("n_known"), base.alias("base_score"), "score")
     if cut:
-        asked = rare_values(deep.select("code").distinct(), grammed, model, depth)
         nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"))]
-        rows = rows.union(deep.join(asked, "code").select("rid", *nothing, (F.col("tf") * F.col("value")).alias("score")))
+        rows = rows.union(rare_scores(blobs, grammed, buckets, copies, model, depth).select("rid", *nothing, "score"))
     whole = rows.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
     )
     return whole.select("doc_id", "n_bytes", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
-NAMES = ["rid", "word", "tf", "code", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score"]
+
+PARTS_SCHEMA = {"rid": "long", "word": "string", "tf": "long", "doc_id": "long", "n_bytes": "long", "n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double", "bucket": "int", "copy": "int", "base": "long", "at": "binary", "code": "binary", "n": "binary"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _columns(rows: int, **given) -> pa.RecordBatch:
+    """A batch of PARTS_SCHEMA; what is not given is NULL."""
+    columns = [given[k] if isinstance(given.get(k), pa.Array) else pa.array(given[k], _ARROW[t]) if k in given else pa.nulls(rows, _ARROW[t]) for k, t in PARTS_SCHEMA.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(PARTS_SCHEMA))

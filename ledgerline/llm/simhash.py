@@ -1,36 +1,52 @@
 """SimHash near-duplicates by anchor-point covering.
 
 Fingerprints: 64 bits, one for each bit position set in over half of the XXH64 values (seed 42) of all word
-shingles, repeats included. Two fingerprints link at t or fewer differing bits.
-
-Candidates: the anchors are the words of a covering code on 46 of the 64 bits, two perfect binary Golay codes
-[23, 12] side by side. Each 23-bit half lies within 3 bits of exactly one code word, its home. A fingerprint
-within t bits of x lies, in the two halves together, at most t bits further from x's home than the covering
-radius allows, so it is enough to replicate every fingerprint to all anchors within covering radius plus
-threshold and to compare it there with the fingerprints that are at home: no link is lost, whatever the data.
-Equal fingerprints are one class throughout, so copies are never expanded into pairs; distinct fingerprints
+shingles, repeats included.
+
+near_duplicates(): two fingerprints link at t or fewer differing bits. The anchors are the words of a covering code on
+46 of the 64 bits, two perfect binary Golay codes [23, 12] side by side. Each 23-bit half lies within 3 bits of exactly
+one code word, its home. A fingerprint within t bits of x lies, in the two halves together, at most t bits further from
+x's home than the covering radius allows, so it is enough to replicate every fingerprint to all anchors within covering
+radius plus threshold and to compare it there with the fingerprints that are at home: no link is lost, whatever the
+data. Equal fingerprints are one class throughout, so copies are never expanded into pairs; distinct fingerprints
 within t bits of one are bounded in number, so links grow with the classes. There are 2**24 anchors: with very
 many more classes than that, cells fill up in proportion.
 
+one_of_each(): texts are near-duplicates at a Jaccard similarity of their shingle sets of 0.8 or more. Fingerprints of
+such texts differ in some 15 % of their bits, more than any one covering can meet, so fingerprints are longer (WIDE
+bits, each set by the same rule for hashes mixed from XXH64), and there are TABLES coverings, each on bits of its own: a
+Golay code [23, 12] beside Hamming codes [7, 4], perfect too, so that each fingerprint lies within the covering radius of
+exactly one anchor of each table. Fingerprints that meet at an anchor and differ in at most NEAR of their first 64 bits
+are candidates; every link is then verified on the whole sets of shingles. A pair at 0.8 shares no anchor with chance
+0.01, one at 0.85 with 0.002. Hamming codes are added, and tables with them, as the classes grow (see tables_for), so
+that the classes at an anchor stay few.
+
 Texts without words (null, empty, blank) have fingerprint zero and link like any other. Repeated rows are rows
 of one class. Null doc_ids keep their row and never name a component; a component of null ids alone has a null
-id. An empty table gives no rows; other columns are not read.
+id. An empty table gives no rows; other columns are not read, and one_of_each() keeps them whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.storage import saved
-from ledgerline.llm.textarrays import fold, id_text, map_slices, sum_by, word_runs, xxh64
+from ledgerline.llm.storage import RID, numbered, saved
+from ledgerline.llm.textarrays import P1, P2, fold, id_text, map_slices, sum_by, word_runs, xxh64
 
 BITS = 23
 GOLAY = 0xC75  # Fixed value: generator polynomial of the binary Golay code [23, 12].
 RADIUS = 3
+#: Shingles, similarity and fingerprints of near-duplicate texts.
+WORDS, SIMILARITY = 5, 0.8
+WIDE, TABLES, NEAR = 512, 96, 24
+#: Rows of one anchor that later rows are compared with; beyond them only those that were like no row before them.
+MOST = 1 << 20
 
 
 def majority(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -152,5 +168,183 @@ def near_duplicates(docs: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left")
 
 
+def tables_for(classes: int) -> tuple[int, int]:
+    """Hamming codes beside the Golay code, and tables: one code for up to 2**20 classes, then one for each further 2**4, with 2.15 times the tables each, as a pair at 0.8 stays together in 0.47 of its words."""
+    more = max(0, -(-(max(classes, 1).bit_length() - 20) // 4))
+    return 1 + more, round(TABLES * 2.15**more)
+
+
+def hamming_home(w: np.ndarray) -> np.ndarray:
+    """Four bits that name the only word of the Hamming code [7, 4] within one bit of a 7-bit word."""
+    wrong = np.zeros(len(w), np.int64)
+    for b in range(7):
+        wrong ^= ((w >> b) & 1) * (b + 1)
+    fixed = w ^ np.where(wrong > 0, 1 << np.maximum(wrong - 1, 0), 0)
+    return (fixed >> 2 & 1) | (fixed >> 3 & 14)  # places 3, 5, 6 and 7 carry the information
+
+
+class Tables:
+    """Coverings of WIDE-bit fingerprints, each on bits of its own."""
+
+    def __init__(self, codes: int, tables: int):
+        rng = np.random.default_rng(7)
+        self.bits = [rng.choice(WIDE, BITS + 7 * codes, replace=False) for _ in range(tables)]
+        self.golay = Anchors(0)
+
+    def keys(self, wide: np.ndarray) -> np.ndarray:
+        """wide: a row of WIDE // 8 bytes for each fingerprint. Its anchor in every table, the table's number on top."""
+        bit = np.unpackbits(wide, axis=1, bitorder="little")
+        out = np.empty((len(wide), len(self.bits)), np.int64)
+        for t, chosen in enumerate(self.bits):
+            word = lambda a, b: bit[:, chosen[a:b]].astype(np.int64) @ (1 << np.arange(b - a))  # noqa: E731, B023
+            key = np.int64(t) << 12 | self.golay.home(word(0, BITS))
+            for at in range(BITS, len(chosen), 7):
+                key = key << 4 | hamming_home(word(at, at + 7))
+            out[:, t] = key
+        return out
+
+
+def wide_fingerprints(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """A row of WIDE // 8 bytes for each group of consecutive hashes; the first eight are the plain fingerprint."""
+    out = np.empty((len(runs), WIDE // 64), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(WIDE // 64):
+            mixed = hashes
+            if k:
+                mixed = (hashes ^ (np.uint64(k) * P2)) * P1
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * P2
+                mixed ^= mixed >> np.uint64(32)
+            out[:, k] = majority(mixed, runs)
+    return out.view(np.uint8)
+
+
+def shingle_sets(hashes: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(runs)
+    return [np.unique(hashes[a:b]) for a, b in zip(ends - runs, ends)]
+
+
+def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of their key, the rows that are near an earlier row of their key, and the nearest such row before each."""
+    here, there = [], []
+    todo, back = np.arange(1, len(key)), 1
+    while len(todo):
+        todo = todo[todo >= back]
+        todo = todo[key[todo] == key[todo - back]]
+        near = np.bitwise_count(fp[todo] ^ fp[todo - back]) <= NEAR
+        here.append(todo[near])
+        there.append(todo[near] - back)
+        todo, back = todo[~near], back + 1
+    return (np.concatenate(here), np.concatenate(there)) if here else (np.empty(0, np.int64),) * 2
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b, d: pairs of classes (cls, wide) that meet at an anchor and differ in d <= NEAR of 64 bits, enough of them to join all that do; b is the smaller."""
+    coverings = tables_for(classes.count())
+
+    def spread(batches):
+        tables = Tables(*coverings)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WIDE // 8)
+                keys = tables.keys(wide)
+                fp = wide[:, :8].copy().view(np.int64).ravel()
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cls").to_numpy(), n)), pa.array(np.repeat(fp, n))], names=["key", "cls", "fp"])
+
+    def meet(batches):
+        kept = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("key", "cls", "fp")]
+            key, cls, fp = (np.concatenate(x) for x in zip(kept, new))
+            old = len(kept[0])
+            at, to = meetings(key, fp.view(np.uint64))
+            fresh = at >= old
+            x, y = cls[at[fresh]], cls[to[fresh]]
+            d = np.bitwise_count((fp[at[fresh]] ^ fp[to[fresh]]).view(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(d)], names=["a", "b", "d"])
+            last = key == key[-1] if len(key) else np.empty(0, bool)
+            if last.sum() > MOST:
+                alone = np.ones(len(key), bool)
+                alone[at] = False
+                last &= alone
+            kept = [key[last], cls[last], fp[last]]
+
+    rows = classes.select("cls", "wide").mapInArrow(spread, "key long, cls long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs whose sets (cls, set) have at least that Jaccard similarity."""
+
+    def alike(batches):
+        for batch in batches:
+            hit = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                    hit.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    one = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
+    return one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, root of all classes that links join. classes: cls, wide; texts: cls, text.
+
+    First each class is verified with the nearest it met; then, of the pairs that these links leave in different components, every one.
+    """
+    pairs = saved(candidates(classes), "candidates")
+
+    def make():
+        def work(part: pa.RecordBatch):
+            f = fold(part.column("text"))
+            start, size, runs = word_runs(f, words)
+            got = shingle_sets(xxh64(f.buf, start, size), runs)
+            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([x.view(np.int64) for x in got], pa.list_(pa.int64()))], names=["cls", "set"])
+
+        return work
+
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = saved(map_slices(texts.join(asked, "cls"), make, "cls long, set array<long>"), "sets")
+    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
+    links = saved(verified(nearest, sets, similarity), "links")
+    star = components(links)
+    root = lambda c: star.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    more = saved(verified(apart, sets, similarity), "links")
+    return components(links.union(more))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the smallest doc_id, of those the first; null ids come last."""
+    placed = numbered(docs, "documents")
+
+    def make():
+        def work(part: pa.RecordBatch):
+            f = fold(part.column("text"))
+            start, size, runs = word_runs(f, words)
+            hashes = xxh64(f.buf, start, size)
+            digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in shingle_sets(hashes, runs)]
+            wide = [x.tobytes() for x in wide_fingerprints(hashes, runs)]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(wide, pa.binary())], names=["rid", "doc_id", "digest", "wide"])
+
+        return work
+
+    read = placed.select(F.col(RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = map_slices(read, make, "rid long, doc_id long, digest binary, wide binary")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    classes = saved(marked.groupBy("digest").agg(F.min("rid").alias("cls"), F.min_by("wide", "rid").alias("wide"), first), "classes")
+    star = similar(classes, read.select(F.col("rid").alias("cls"), "text"), words, similarity)
+    rooted = classes.select("cls", "first").join(star.withColumnRenamed("node", "cls"), "cls", "left")
+    stay = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.rid").alias(RID))
+    return placed.join(stay, RID, "left_semi").select(*(placed[f"`{c}`"] for c in docs.columns))
+
+
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

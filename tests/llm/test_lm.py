@@ -92,7 +92,8 @@ def test_equal_to_plain_context_tree_weighting(spark, depth):
 
 @pytest.mark.parametrize("depth, visits", [(1, 0.5), (2, 0.05), (4, 0.02), (4, 1.0)])
 def test_rarely_visited_nodes_count(spark, monkeypatch, depth, visits):
-    monkeypatch.setattr(lm, "GROUP", 20)
+    monkeypatch.setattr(lm, "BUCKET", 20)
+    monkeypatch.setattr(lm, "TASKS", 3)
     monkeypatch.setattr(lm, "PLACES", 3)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plain = Plain([t for i, t in enumerate(TEXTS) if i % 3 != 1], depth)
@@ -100,6 +101,15 @@ def test_rarely_visited_nodes_count(spark, monkeypatch, depth, visits):
     assert got == pytest.approx({i: plain.score(t) for i, t in enumerate(TEXTS)}, rel=1e-4)
 
 
+def test_kept_nodes_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    want = {r.doc_id: r.score for r in lm.scores(df, F.lit(True), depth=3, visits=0.001).collect()}
+    monkeypatch.setattr(lm, "KEPT", 50)
+    model = lm.fit(df, 3, 0.001)[0]
+    assert sum(len(k) for k, _, _ in model.levels[2:]) <= 50
+    assert {r.doc_id: r.score for r in lm.scores(df, F.lit(True), depth=3, visits=0.001).collect()} == pytest.approx(want, rel=1e-4)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 0.2)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
