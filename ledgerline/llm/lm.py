@@ -10,11 +10,11 @@ explained the corpus. Scores add up log10 of the mixed predictions, and never le
 Counting: the byte (DEPTH+1)-grams of all learned documents, summed in each task, then by a shuffle; they are dealt into
 buckets by the last two bytes of their context, as many as keep a bucket near BUCKET grams. Trees are weighted from the
 leaves up, a bucket at a time, and the last two levels by two small aggregations. Every counted node takes part in
-prediction. Of those visited in at least VISITS of all coded bytes the most visited, KEPT at most, are sent to the
-executors, and so are all with a context of under two bytes (65,535 at most). A gram whose deepest nodes are among them is
-scored at once; every other gram of a document travels in an array to its bucket, meets all nodes of the bucket there,
-and comes back as one sum for each document and bucket. A bucket is worked on by several tasks, each with a copy of its
-counts, where the texts came in more than TASKS tasks.
+prediction: of the counted grams the most frequent, KEPT at most, are scored by all nodes once, and their scores are sent
+to the executors, as are the nodes with a context of under two bytes (65,535 at most). Every other gram of a document,
+counted or not, travels in an array to its bucket, meets all nodes of the bucket there, and comes back as one sum for each
+document and bucket. A bucket is worked on by several tasks, each with a copy of its counts, where the texts came in more
+than TASKS tasks.
 
 Base: unigram counts of all words; those that make up at least FREQUENT of all tokens, so at most 1 / FREQUENT
 words, are sent to the executors, and the others' (document, word) pairs are joined with the counts, so no word is
@@ -27,6 +27,8 @@ below by its formula. An empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,16 +40,15 @@ from ledgerline.llm.storage import saved, settled
 from ledgerline.llm.textarrays import END, Folded, fold, id_text, map_slices, slice_bytes, slices, sum_by, word_strings
 
 DEPTH = 5
-VISITS = 2.0**-22
-#: Nodes sent to the executors at most (16 bytes each), besides those of the first two levels.
-KEPT = 1 << 22
+#: Grams whose score is sent to the executors at most (16 bytes each).
+KEPT = 1 << 20
 #: Grams of a bucket, as far as two bytes of context can tell them apart; input tasks that share one copy of a bucket.
 BUCKET, TASKS = 1 << 17, 1024
 FREQUENT = 2.0**-20
-#: Entries that one task sums up before it merges them, and bits of the number of grams whose score one worker remembers.
-MERGE, PLACES = 3_000_000, 22
+#: Entries that one task sums up before it merges them, and bits of the number of places of the two tables in which a worker looks grams up.
+MERGE, PLACES = 1_500_000, (21, 20)
 #: Slices are that much smaller than those of other operators: some thirty numbers of eight bytes are held for each byte.
-PARTS = 4
+PARTS = 8
 U = np.uint64
 NODES = "depth int, node long, n0 long, n1 long, weighted double, stop double"
 
@@ -64,9 +65,8 @@ def grams(f: Folded, depth: int) -> tuple[np.ndarray, np.ndarray]:
     written = real.copy()
     written[(ends - 1)[f.words == 0]] = False
     stream[written] = f.buf
-    code = np.zeros(len(stream), U)
-    for j in range(depth, -1, -1):
-        code[depth:] = (code[depth:] << U(8)) | stream[depth - j : len(stream) - j]
+    padded = np.concatenate([np.zeros(7, np.uint8), stream])
+    code = np.ndarray(len(stream), ">u8", padded, strides=(1,)).astype(U) & U((1 << 8 * (depth + 1)) - 1)  # the eight bytes up to each one
     return code[real], sizes
 
 
@@ -131,9 +131,9 @@ def subtree(code: np.ndarray, n: np.ndarray, depth: int, top: int):
             node, n0, n1, below = _summed(parent(node, d), n0, n1, weighted)
 
 
-def _batch(d: int, node, n0, n1, weighted, stop, keep=slice(None)) -> pa.RecordBatch:
+def _batch(d: int, node, n0, n1, weighted, stop) -> pa.RecordBatch:
     columns = [np.full(len(node), d, np.int32), node.view(np.int64), n0, n1, weighted, stop]
-    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["depth", "node", "n0", "n1", "weighted", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["depth", "node", "n0", "n1", "weighted", "stop"])
 
 
 def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _codes(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 class Model:
-    """Kept nodes by depth: sorted keys, probability of a one, share that stops."""
+    """Nodes by depth: sorted keys, probability of a one, share that stops."""
 
     def __init__(self, depth: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.depth, self.levels = depth, levels
@@ -188,36 +188,47 @@ class Model:
             total += np.log10(np.where((byte >> U(7 - i)) & U(1) == 1, p, 1 - p))
         return total
 
-    def whole(self, code: np.ndarray) -> np.ndarray:
-        """Whether the deepest node of the last bit, so that of every bit, is kept."""
-        keys = self.levels[self.depth][0]
-        if not len(keys):
-            return np.zeros(len(code), bool)
-        want = ((code >> U(8)) & U((1 << (8 * self.depth)) - 1)) << U(8) | U(128) | ((code & U(255)) >> U(1))
-        return keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
-
 
 class Scorer:
-    """A model with a bounded memory of scored grams, one place for each. cut: nodes are left out of it; NaN for grams that may need them."""
-
-    def __init__(self, model: Model, cut: bool, places: int):
-        self.model, self.cut, self.shift = model, cut, U(64 - places)
-        self.codes, self.values = np.zeros(1 << places, U), np.zeros(1 << places)
-        self.full = np.zeros(1 << places, bool)
+    """Scores of known grams, found by a place of their own: in one table, else in a second, else by search. NaN for all others."""
+
+    EMPTY = U((1 << 64) - 1)
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, places: tuple[int, int]):
+        """codes: the grams, those that come first get their places first."""
+        self.tables = []
+        for k, bits in enumerate(places):
+            held, score = np.full(1 << bits, self.EMPTY, U), np.zeros(1 << bits)
+            at = self._place(codes, k, bits)
+            held[at[::-1]], score[at[::-1]] = codes[::-1], values[::-1]
+            self.tables.append((bits, held, score))
+            left = held[at] != codes
+            codes, values = codes[left], values[left]
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+
+    @staticmethod
+    def _place(code: np.ndarray, table: int, bits: int) -> np.ndarray:
+        factor = U((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table])  # Fixed values: odd numbers with well-mixed bits
+        return ((code ^ (code >> U(29))) * factor >> U(64 - bits)).view(np.int64)
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
-        at = ((code ^ (code >> U(29))) * U(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)  # Fixed value: 2**64 by the golden ratio
-        value = self.values[at]
-        missing = np.flatnonzero((self.codes[at] != code) | ~self.full[at])
-        if len(missing):
-            new, first, back = np.unique(code[missing], return_index=True, return_inverse=True)
-            scored = np.full(len(new), np.nan)
-            whole = self.model.whole(new) if self.cut else np.ones(len(new), bool)
-            scored[whole] = self.model.log10(new[whole])
-            value[missing] = scored[back]
-            place = at[missing[first]]
-            self.codes[place], self.values[place], self.full[place] = new, scored, True
-        return value
+        out = todo = None
+        for k, (bits, held, score) in enumerate(self.tables):
+            asked = code if todo is None else code[todo]
+            at = self._place(asked, k, bits)
+            hit = held[at] == asked
+            if todo is None:
+                out = np.where(hit, score[at], np.nan)
+                todo = np.flatnonzero(~hit)
+            else:
+                out[todo[hit]] = score[at[hit]]
+                todo = todo[~hit]
+        if len(self.codes) and len(todo):
+            at = np.minimum(np.searchsorted(self.codes, code[todo]), len(self.codes) - 1)
+            hit = self.codes[at] == code[todo]
+            out[todo[hit]] = self.values[at[hit]]
+        return out
 
 
 def buckets_of(context: np.ndarray, buckets: int) -> np.ndarray:
@@ -285,20 +296,45 @@ def _dealt(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("bucket", "copy").sortWithinPartitions("bucket", "copy", "base")
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Model, DataFrame, int, float]:
-    """Kept nodes of the context tree of all documents given, the counted grams, their buckets, and the visits of a kept node."""
+@dataclass
+class Fitted:
+    """first: the nodes of the levels above those of the buckets; codes, values: grams and their scores, the most frequent first; counts: code, n of all."""
+
+    first: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    codes: np.ndarray
+    values: np.ndarray
+    counts: DataFrame
+    buckets: int
+
+
+def _level(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32)
+
+
+def bucket_model(code: np.ndarray, n: np.ndarray, first: list, depth: int, top: int) -> Model:
+    """All nodes of a bucket, below the first levels."""
+    levels = [*first, *[_level(np.empty(0, U), *(np.empty(0),) * 3)] * (depth + 1 - top)]
+    for d, node, n0, n1, _, stop in subtree(code, n, depth, top) if len(code) else ():
+        levels[d] = _level(node, n0, n1, stop)
+    return Model(depth, levels)
+
+
+def fit(docs: DataFrame, depth: int = DEPTH, most: int = KEPT) -> Fitted:
+    """The context tree of all documents given."""
     top = min(2, depth)
     counts = saved(gram_counts(id_text(docs), depth), "grams")
-    coded, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    buckets, least = max(1, -(-kinds // BUCKET)), visits * coded
+    kinds = counts.count()
+    buckets = max(1, -(-kinds // BUCKET))
+    blobs = _dealt(count_blobs(counts, buckets, 1, top))
 
     def weigh_subtrees(batches):
         for code, n, _ in by_bucket(batches):
             for d, node, n0, n1, weighted, stop in subtree(code, n, depth, top):
-                yield _batch(d, node, n0, n1, weighted, stop, slice(None) if d == top else n0 + n1 >= least)
+                if d == top:
+                    yield _batch(d, node, n0, n1, weighted, stop)
 
-    nodes = saved(_dealt(count_blobs(counts, buckets, 1, top)).mapInArrow(weigh_subtrees, NODES), "nodes")
-    frames, level = [nodes], nodes.filter(F.col("depth") == top)
+    level = saved(blobs.mapInArrow(weigh_subtrees, NODES), "nodes")
+    first = []
     for d in range(top - 1, -1, -1):
         up = level.groupBy(F.col("node").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1).cast("long")).alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
 
@@ -308,47 +344,52 @@ def fit(docs: DataFrame, depth: int = DEPTH, visits: float = VISITS) -> tuple[Mo
                 yield _batch(d, b.column("node").to_numpy().view(U), n0, n1, *weigh(n0, n1, b.column("below").to_numpy()))
 
         level = saved(up.mapInArrow(weigh_level, NODES), "nodes")
-        frames.append(level)
-    seen = F.col("n0") + F.col("n1")
-    sizes = nodes.filter(seen >= least).groupBy(F.floor(F.log2(seen)).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect()  # at most 64 rows
-    room = KEPT
-    for power, n in sizes:
-        room -= n
+        got = level.toArrow()  # at most 255 times 1 or 256 rows
+        node, n0, n1, stop = (got.column(c).to_numpy() for c in ("node", "n0", "n1", "stop"))
+        order = np.argsort(node.view(U))
+        first.insert(0, _level(node.view(U)[order], n0[order], n1[order], stop[order]))
+    least = _least(counts, most)
+    head = docs.sparkSession.sparkContext.broadcast(first)
+
+    def score(batches):
+        for code, n, _ in by_bucket(batches):
+            want = n >= least
+            if want.any():
+                value = bucket_model(code, n, head.value, depth, top).log10(code[want])
+                yield pa.RecordBatch.from_arrays([pa.array(code[want].view(np.int64)), pa.array(n[want]), pa.array(value)], names=["code", "n", "value"])
+
+    got = saved(blobs.mapInArrow(score, "code long, n long, value double"), "scores").toArrow()  # at most `most` rows
+    order = np.argsort(-got.column("n").to_numpy(), kind="stable")
+    return Fitted(first, got.column("code").to_numpy().view(U)[order], got.column("value").to_numpy()[order], counts, buckets)
+
+
+def _least(counts: DataFrame, most: int) -> int:
+    """The smallest count such that no more than `most` grams have it or a larger one, among the powers of the fourth root of two."""
+    room, least = most, 1 << 62
+    steps = F.floor(F.log2("n") * 4)
+    for r in counts.groupBy(steps.alias("step")).agg(F.count("*").alias("grams"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():  # at most 256 rows
+        room -= r.grams
         if room < 0:
-            least = 2.0 ** (power + 1)
             break
-    levels = []
-    for d in range(depth + 1):
-        frame = frames[0] if d >= top else frames[top - d]
-        kept = frame.filter((F.col("depth") == d) & (seen >= (least if d >= top else 0)))
-        one = ((F.col("n1") + 0.5) / (seen + 1)).cast("float")
-        got = kept.select("node", one.alias("one"), F.col("stop").cast("float").alias("stop")).toArrow()  # at most KEPT rows, or the first levels
-        key = got.column("node").to_numpy().view(U)
-        order = np.argsort(key)
-        levels.append((key[order], got.column("one").to_numpy()[order], got.column("stop").to_numpy()[order]))
-    return Model(depth, levels), counts, buckets, least
-
-
-def rare_scores(asked: DataFrame, counts: DataFrame, buckets: int, copies: int, broadcast, depth: int) -> DataFrame:
+        least = r.least
+    return least
+
+
+def rare_scores(asked: DataFrame, fitted: Fitted, copies: int, broadcast, depth: int) -> DataFrame:
     """rid, score: the summed log10 of the probabilities of the grams asked for, by all counted nodes, a row for each bucket of a document."""
     top = min(2, depth)
-    nothing = (np.empty(0, U), np.empty(0, np.float32), np.empty(0, np.float32))
 
     def run(batches):
         for code, n, blobs in by_bucket(batches):
             model = None
             for base, at, want, times in blobs:
-                if model is None:
-                    levels = [*broadcast.value.levels[:top], *[nothing] * (depth + 1 - top)]
-                    for d, node, n0, n1, _, stop in subtree(code, n, depth, top) if len(code) else ():
-                        levels[d] = (node, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), stop.astype(np.float32))
-                    model = Model(depth, levels)
+                model = model or bucket_model(code, n, broadcast.value[0], depth, top)
                 found, place = np.unique(want, return_inverse=True)
                 value = model.log10(found)[place] * times
                 doc, back = np.unique(at, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(base + doc.astype(np.int64)), pa.array(np.bincount(back, value, len(doc)))], names=["rid", "score"])
 
-    both = count_blobs(counts, buckets, copies, top).union(asked.select("bucket", "copy", "base", "at", "code", "n"))
+    both = count_blobs(fitted.counts, fitted.buckets, copies, top).union(asked.select("bucket", "copy", "base", "at", "code", "n"))
     return _dealt(both).mapInArrow(run, "rid long, score double")
 
 
@@ -377,15 +418,15 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
 
-def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = VISITS) -> DataFrame:
+def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, most: int = KEPT) -> DataFrame:
     """doc_id, n_bytes (coded), n_tokens, n_known, train_tokens, base_score, score, bits_per_byte. learn: of doc_id."""
     spark = docs.sparkSession
     text = settled(id_text(docs), "documents")
     learned = text.filter(learn)
-    fitted, grammed, buckets, least = fit(learned, depth, visits)
-    cut, top = least > 1, min(2, depth)
-    model = spark.sparkContext.broadcast(fitted)
-    copies = -(-text.rdd.getNumPartitions() // TASKS) if cut else 1
+    fitted = fit(learned, depth, most)
+    top, buckets = min(2, depth), fitted.buckets
+    known = spark.sparkContext.broadcast((fitted.first, fitted.codes, fitted.values))
+    copies = -(-text.rdd.getNumPartitions() // TASKS)
     counts = saved(word_counts(learned), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     spread = 0.1 * (kinds + 1) + total
@@ -393,9 +434,9 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
     common = spark.sparkContext.broadcast((frequent.column("word").combine_chunks().cast(pa.large_string()), frequent.column("n").to_numpy()))
 
     def make():
-        scorer, context, seen = Scorer(model.value, cut, PLACES), TaskContext.get(), [0]
+        scorer, context, seen = Scorer(*known.value[1:], PLACES), TaskContext.get(), [0]
         words, n = common.value
-        value, known = np.log10((n + 0.1) / spread), (n > 0).astype(float)
+        value, there = np.log10((n + 0.1) / spread), (n > 0).astype(float)
         ends = pc.index_in(pa.scalar("\n", pa.large_string()), words).as_py()
         end = (value[ends], 1) if ends is not None else (float(np.log10(0.1 / spread)), 0)
 
@@ -415,7 +456,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
             hit = at >= 0
             tokens = np.bincount(doc, minlength=rows) + 1
             base = np.bincount(doc[hit], value[at[hit]], rows) + end[0]
-            sure = np.bincount(doc[hit], known[at[hit]], rows).astype(np.int64) + end[1]
+            sure = np.bincount(doc[hit], there[at[hit]], rows).astype(np.int64) + end[1]
             yield _columns(rows, rid=rid, word=pa.array([f" {r}" for r in rid]), doc_id=part.column("doc_id"), n_bytes=sizes, n_tokens=tokens, n_known=sure, base_score=base, score=score)
             width = max(len(coded.dictionary), 1)
             key, tf = np.unique(doc[~hit] * width + place[~hit], return_counts=True)
@@ -435,19 +476,17 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, visits: float = V
         return work
 
     parts = map_slices(text, make, parts=PARTS, schema=", ".join(f"{k} {v}" for k, v in PARTS_SCHEMA.items()))
-    if cut:
-        parts = saved(parts, "parts")
-        blobs = parts.filter("bucket IS NOT NULL")
-        parts = parts.filter("bucket IS NULL")
+    parts = saved(parts, "parts")
+    blobs = parts.filter("bucket IS NOT NULL")
+    parts = parts.filter("bucket IS NULL")
     parts = parts.select("rid", "word", "tf", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score")
     joined = parts.join(counts, "word", "left")
     times = F.coalesce("n", F.lit(0))
     base = F.coalesce("base_score", F.col("tf") * F.log10((times + 0.1) / F.lit(spread)))
     sure = F.coalesce("n_known", F.when(times > 0, F.col("tf")).otherwise(0))
     rows = joined.select("rid", "doc_id", "n_bytes", "n_tokens", sure.alias("n_known"), base.alias("base_score"), "score")
-    if cut:
-        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"))]
-        rows = rows.union(rare_scores(blobs, grammed, buckets, copies, model, depth).select("rid", *nothing, "score"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"))]
+    rows = rows.union(rare_scores(blobs, fitted, copies, known, depth).select("rid", *nothing, "score"))
     whole = rows.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
     )

@@ -90,24 +90,28 @@ def test_equal_to_plain_context_tree_weighting(spark, depth):
         assert got[i].n_bytes == len(" ".join(tokens(t)).encode()) + 1
 
 
-@pytest.mark.parametrize("depth, visits", [(1, 0.5), (2, 0.05), (4, 0.02), (4, 1.0)])
-def test_rarely_visited_nodes_count(spark, monkeypatch, depth, visits):
+@pytest.mark.parametrize("depth, most", [(0, 5), (1, 0), (2, 20), (4, 100), (4, 0)])
+def test_rare_grams_meet_all_nodes(spark, monkeypatch, depth, most):
     monkeypatch.setattr(lm, "BUCKET", 20)
     monkeypatch.setattr(lm, "TASKS", 3)
-    monkeypatch.setattr(lm, "PLACES", 3)
+    monkeypatch.setattr(lm, "PLACES", (3, 2))
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    learn = F.col("doc_id") % 3 != 1
+    assert len(lm.fit(df.filter(learn), depth, most).codes) <= most
     plain = Plain([t for i, t in enumerate(TEXTS) if i % 3 != 1], depth)
-    got = {r.doc_id: r.score for r in lm.scores(df, F.col("doc_id") % 3 != 1, depth=depth, visits=visits).collect()}
+    got = {r.doc_id: r.score for r in lm.scores(df, learn, depth=depth, most=most).collect()}
     assert got == pytest.approx({i: plain.score(t) for i, t in enumerate(TEXTS)}, rel=1e-4)
 
 
-def test_kept_nodes_are_bounded(spark, monkeypatch):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    want = {r.doc_id: r.score for r in lm.scores(df, F.lit(True), depth=3, visits=0.001).collect()}
-    monkeypatch.setattr(lm, "KEPT", 50)
-    model = lm.fit(df, 3, 0.001)[0]
-    assert sum(len(k) for k, _, _ in model.levels[2:]) <= 50
-    assert {r.doc_id: r.score for r in lm.scores(df, F.lit(True), depth=3, visits=0.001).collect()} == pytest.approx(want, rel=1e-4)
+def test_scorer_finds_every_gram():
+    r = np.random.default_rng(5)
+    codes = np.unique(r.integers(0, 1 << 48, 3000, np.uint64))
+    r.shuffle(codes)
+    values = r.random(len(codes))
+    for places in ((12, 10), (4, 3), (16, 16)):
+        scorer = lm.Scorer(codes, values, places)
+        assert (scorer(codes) == values).all() and np.isnan(scorer(codes + np.uint64(1 << 50))).all()
+    assert np.isnan(lm.Scorer(codes[:0], values[:0], (3, 3))(codes)).all()
 
 
 def test_rare_words_are_joined(spark, monkeypatch):
