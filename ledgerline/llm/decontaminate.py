@@ -77,36 +77,44 @@ def _by_block(df: DataFrame, fp: str, masks: list[int]) -> DataFrame:
     return df.select("*", F.posexplode(F.transform(table, lambda m: m.bitwiseAND(F.col(fp)))).alias("block", "value"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, hamming, start_word, windows: one row for each document and item it holds."""
+FOUND = "doc_id long, copy long, bytes int, item_id long, similarity double, hamming int, start_word int"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """A row for each window of a text and item it is like; copy and bytes name the text."""
     masks = _masks(radius)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.octet_length("text").alias("bytes"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words("text").alias("w")).filter(F.col("item_id").isNotNull() & (F.size("w") > 0)).distinct()
     items = items.withColumn("m", F.size("w")).withColumn("k", F.least("m", F.lit(words)))
     sizes = items.groupBy("k").agg(F.sum(F.col("m") - F.col("k") + 1).alias("n")).collect()  # at most `words` rows
     if not sizes:
-        return text.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("hamming"), F.lit(0).alias("start_word"), F.lit(0).cast("long").alias("windows")).limit(0)
+        return docs.sparkSession.createDataFrame([], FOUND)
     found = []
     for k, n in sorted(map(tuple, sizes)):
         passes = -(-n // BROADCAST_SHINGLES)
         of_size = items.filter(F.col("k") == k).withColumn("g", _grams("w", k))
-        grams = text.select("doc_id", "copy", _let(_words("text"), lambda w: _grams(w, k)).alias("g"))  # no filter on g: it would compute it again
+        grams = text.select("doc_id", "copy", "bytes", _let(_words("text"), lambda w: _grams(w, k)).alias("g"))  # no filter on g: it would compute it again
         for p in range(passes):
             block = of_size.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
             found.append(_pass(grams, block, k, similarity, radius, masks))
-    pairs = reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, hamming, start_word, windows: one row for each document and item it holds."""
+    pairs = _found(docs, benchmark, words, similarity, radius)
     best = F.max_by(F.struct("hamming", "start_word"), F.struct("similarity", -F.col("hamming"), -F.col("start_word")))
     return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("best"), F.count("*").alias("windows")).select("doc_id", "item_id", "similarity", "best.hamming", "best.start_word", "windows")
 
 
 def _pass(text: DataFrame, items: DataFrame, k: int, similarity: float, radius: int, masks: list[int]) -> DataFrame:
     anchors = items.select("m", F.posexplode("g").alias("at", "gram")).distinct()
-    laid = text.select("doc_id", "copy", "g", F.posexplode("g").alias("here", "gram")).join(F.broadcast(anchors), "gram")
+    laid = text.select("doc_id", "copy", "bytes", "g", F.posexplode("g").alias("here", "gram")).join(F.broadcast(anchors), "gram")
     grams = F.col("m") - (k - 1)
     start = F.greatest(F.lit(0), F.least(F.col("here") - F.col("at"), F.size("g") - grams))
-    laid = laid.select("doc_id", "copy", "m", start.alias("start_word"), "g", grams.alias("n"))
-    windows = laid.select("doc_id", "copy", "m", "start_word", F.slice("g", F.col("start_word") + 1, F.col("n")).alias("g")).dropDuplicates(["doc_id", "copy", "m", "start_word"])
-    windows = windows.select("doc_id", "copy", "m", "start_word", _simhash("g").alias("fp"), _counted("g").alias("c"))
+    laid = laid.select("doc_id", "copy", "bytes", "m", start.alias("start_word"), "g", grams.alias("n"))
+    windows = laid.select("doc_id", "copy", "bytes", "m", "start_word", F.slice("g", F.col("start_word") + 1, F.col("n")).alias("g")).dropDuplicates(["doc_id", "copy", "bytes", "m", "start_word"])
+    windows = windows.select("doc_id", "copy", "bytes", "m", "start_word", _simhash("g").alias("fp"), _counted("g").alias("c"))
     targets = items.select("item_id", "m", _simhash("g").alias("item_fp"), _counted("g").alias("item_c"))
     keyed, held = _by_block(windows, "fp", masks), _by_block(targets, "item_fp", masks)
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
@@ -115,9 +123,11 @@ def _pass(text: DataFrame, items: DataFrame, k: int, similarity: float, radius:
     alike = common / (F.size("c") + F.size("item_c") - common)
     meet = (F.col("item_block") == F.col("block")) & (held["value"] == keyed["value"]) & (held["m"] == keyed["m"])
     near = keyed.join(F.broadcast(held.withColumnRenamed("block", "item_block")), meet & (F.bit_count(differ) <= radius) & first & (alike >= similarity))
-    return near.select("doc_id", "item_id", alike.alias("similarity"), F.bit_count(differ).alias("hamming"), "start_word")
+    return near.select("doc_id", "copy", "bytes", "item_id", alike.alias("similarity"), F.bit_count(differ).alias("hamming"), "start_word")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold an item; rows of a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """docs without the rows whose text holds an item, whatever their ids: whether a row goes depends on its text alone. Null texts stay."""
+    text = docs.select(F.lit(None).cast("long").alias("doc_id"), docs["text"])
+    held = _found(text, benchmark, words, similarity, radius).select(F.col("copy").alias("__copy"), F.col("bytes").alias("__bytes")).distinct()
+    return docs.join(held, (F.xxhash64(docs["text"]) == F.col("__copy")) & (F.octet_length(docs["text"]) == F.col("__bytes")), "left_anti")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
 from ledgerline.llm.storage import RID, numbered, saved
-from ledgerline.llm.textarrays import P1, P2, fold, id_text, map_slices, sum_by, word_runs, xxh64
+from ledgerline.llm.textarrays import P1, P2, fold, id_text, map_slices, ragged, word_runs, xxh64
 
 BITS = 23
 GOLAY = 0xC75  # Fixed value: generator polynomial of the binary Golay code [23, 12].
@@ -50,17 +50,23 @@ MOST = 1 << 20
 
 
 def majority(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """For each group of consecutive hashes, the bits set in over half of them; zero for an empty group."""
-    per = 4 if int(runs.max(initial=0)) < 1 << 16 else 2  # counters in one 64-bit word
-    width, values = 64 // per, np.arange(1 << per, dtype=np.uint64)
-    spread = sum(((values >> np.uint64(b)) & np.uint64(1)) << np.uint64(width * b) for b in range(per))
+    """For each group of consecutive hashes, the bits set in over half of them; zero for an empty group.
+
+    Eight bits of each hash, one of every byte, are added up at a time in eight counters of a byte, 255 hashes at most; then these sums are.
+    """
     out = np.zeros(len(runs), np.uint64)
-    with np.errstate(over="ignore"):
-        for low in range(0, 64, per):
-            packed = sum_by(spread[(hashes >> np.uint64(low)) & np.uint64((1 << per) - 1)], runs)
-            for b in range(per):
-                count = (packed >> np.uint64(width * b)) & np.uint64((1 << width) - 1)
-                out |= (2 * count > runs.astype(np.uint64)).astype(np.uint64) << np.uint64(low + b)
+    full = np.flatnonzero(runs)
+    if not len(full):
+        return out
+    runs = runs[full]
+    pieces = -(-runs // 255)
+    at = np.repeat(np.cumsum(runs) - runs, pieces) + ragged(np.zeros(len(runs), np.int64), pieces) * 255
+    first = np.cumsum(pieces) - pieces
+    counts = np.empty((len(runs), 64), np.int64)
+    for b in range(8):
+        lanes = (hashes >> np.uint64(b)) & np.uint64(0x0101010101010101)
+        counts[:, b::8] = np.add.reduceat(np.add.reduceat(lanes, at).view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * counts > runs[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -310,7 +316,7 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
         return work
 
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = saved(map_slices(texts.join(asked, "cls"), make, "cls long, set array<long>"), "sets")
+    sets = saved(map_slices(texts.join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     links = saved(verified(nearest, sets, similarity), "links")
     star = components(links)
@@ -337,7 +343,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         return work
 
     read = placed.select(F.col(RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = map_slices(read, make, "rid long, doc_id long, digest binary, wide binary")
+    marked = map_slices(read, make, "rid long, doc_id long, digest binary, wide binary", parts=4)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = saved(marked.groupBy("digest").agg(F.min("rid").alias("cls"), F.min_by("wide", "rid").alias("wide"), first), "classes")
     star = similar(classes, read.select(F.col("rid").alias("cls"), "text"), words, similarity)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 FALLBACK = "file:///tmp/checkpoints"
 #: Column of numbered(): no table of ours has it.
 RID = "__rid"
+FILE, BLOCK = "__file", "__block"
 #: Seeds tried for a hash that tells the files apart.
 SEEDS = 16
 
@@ -52,19 +53,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df if _plain_scan(df) else saved(df, name)
 
 
+def _with_places(df: DataFrame, name: str, order: list | None = None) -> tuple[DataFrame, object]:
+    """(df or a written copy of it, its column of metadata)."""
+    if not _plain_scan(df) or "_metadata" in df.columns:
+        df = saved(df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+    try:
+        return df, df.metadataColumn("_metadata")
+    except Exception:  # a table whose reader has no such column
+        df = saved(df if order is None else df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+        return df, df.metadataColumn("_metadata")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a column RID that tells rows apart: made of a hash of the row's file and its place there, so it is the same
     however often, by however many tasks and in whatever splits the rows are read. What is no plain scan of files is written first.
 
     One small job reads no column: the hash's seed is one under which no two files meet.
     """
-    if not _plain_scan(df) or "_metadata" in df.columns:
-        df = saved(df, name)
-    try:
-        meta = df.metadataColumn("_metadata")
-    except Exception:  # a table whose reader has no such column
-        df = saved(df, name)
-        meta = df.metadataColumn("_metadata")
+    df, meta = _with_places(df, name)
     file, row = meta.getField("file_path"), meta.getField("row_index")
     files = saved(df.select(file.alias("f"), row.alias("r")).groupBy("f").agg(F.max("r").alias("r")), "files")
     n, most = files.agg(F.count("*"), F.max("r")).first()
@@ -76,6 +82,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.select("*", hashed(file, kinds.index(n)).bitwiseOR(row).alias(RID))
 
 
+def in_splits(df: DataFrame, name: str, order: list) -> DataFrame:
+    """df with FILE and BLOCK, the path and the first byte of the split that a row is read from: rows in order of path, split and place there
+    are in one order however they are read. What is no plain scan of files is written first, in the order given."""
+    df, meta = _with_places(df, name, order)
+    return df.select("*", meta.getField("file_path").alias(FILE), meta.getField("file_block_start").alias(BLOCK))
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what saved() has written for this application; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm

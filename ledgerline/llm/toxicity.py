@@ -261,13 +261,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "to
 def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> DataFrame:
     """docs without the rows predicted toxic, in one narrow pass."""
     model = fit(docs, labels, label, learn)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots and the like
+    text = f"c{docs.columns.index('text')}"
 
     def keep(batches):
         for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array(model.score(part.column("text"))[0] < 0.5))
+            for part in slices(batch, text):
+                yield part.filter(pa.array(model.score(part.column(text))[0] < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def fold_of(n: int) -> Column:

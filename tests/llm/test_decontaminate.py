@@ -57,7 +57,17 @@ def test_equal_to_brute_force(spark):
     assert all(abs(got[p] - want[p]) < 0.12 and got[p] >= 0.8 for p in want)
     assert sum(abs(got[p] - want[p]) < 1e-12 for p in want) >= 0.95 * len(want)
     kept = D.clean(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(i is None or i not in {a for a, _ in want} for i, _ in docs)
+    bad = {t for n, (_, t) in enumerate(docs) if brute([(n, t)], items)}
+    assert kept.columns == df.columns and sorted(map(repr, (r.text for r in kept.collect()))) == sorted(repr(t) for _, t in docs if t not in bad)
+
+
+def test_a_row_goes_by_its_own_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(1, "clean words beside it", "a"), (1, f"so {item} it", "b"), (None, item, "c"), (None, "clean too", "d"), (2, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `copy.x` string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = D.clean(df, bench)
+    assert got.columns == df.columns and sorted(r[2] for r in got.collect()) == ["a", "d", "e"]
 
 
 def test_passes_do_not_change_the_result(spark, monkeypatch):

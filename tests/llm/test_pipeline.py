@@ -58,3 +58,28 @@ def test_split_characters_are_dropped(spark):
     got = {r.doc_id: r for r in suffix.shortened(df, length=20, gram=5, unit="byte").collect()}
     for i, t in ((1, "x" + text), (2, "é" + "yx" + text)):
         assert re.fullmatch("é?y?", got[i].text) and got[i].n_chars == len(got[i].text) and t
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, ties, clashing names, an empty table."""
+    long = " ".join(f"Wort{i}" for i in range(30_000))
+    passage = " ".join(f"shared{i}" for i in range(60))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    one, other = (" ".join(f"{c}{i}" for i in range(50)) for c in "pq")
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, " \n", "en", "s", 2), (2, long, "en", "s", len(long)), (3, f"{one} {passage} b", None, "s", 3), (4, f"{passage} {other}", "en", "s", 4), (5, "one clean line of words", "en", "s", 5), (5, "one clean line of words", "en", "s", 5), (6, f"see {item} there", "en", "s", 6)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, `rid.text` string")
+    kept = docs
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+        counts.append(kept.count())
+    assert counts == [9, 6, 6, 5]
+    texts = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert texts == [(1, ""), (2, long), (3, f"{one} b"), (4, other), (5, "one clean line of words")]
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {1, 2, 3, 4, 5}
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, SF)
+        assert nothing.count() == 0

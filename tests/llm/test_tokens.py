@@ -10,7 +10,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from ledgerline.llm import textarrays
-from ledgerline.llm.feistel import Feistel, materialise
+from ledgerline.llm.feistel import Feistel, materialise, read_slots, stream, write_shards
 from ledgerline.llm.packing import pack
 from ledgerline.llm.token_counts import NONE, Automaton, tiktoken_vocabulary, token_counts
 from ledgerline.llm.tokens import WordEncoder
@@ -132,3 +132,43 @@ def test_materialise_holds_every_id_once(spark):
     want = sorted(tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts)
     assert sorted(i for r in rows for i in np.frombuffer(r.ids, "<u2")[: r.length].tolist()) == sorted(i for w in want for i in w)
     assert materialise(documents(spark, TEXTS).limit(0), WORD).count() == 0
+
+
+def test_slots_are_the_same_under_any_partitioning(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    of = lambda df: {(r.doc_id, r.start): r.slot for r in materialise(df, WORD, seq_len=64).select("doc_id", "start", "slot").collect()}
+    want = of(docs)
+    assert len(want) > 500
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert docs.rdd.getNumPartitions() > 3 and of(docs) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert of(docs.repartition(5)) == of(docs.repartition(3, "lang"))
+    assert of(docs.repartition(5)) == want  # the table lies in order of doc_id
+
+
+def test_shards_are_written_once_and_read_from_any_slot(spark, tmp_path):
+    folder = f"file://{tmp_path}/order"
+    rows = materialise(documents(spark, TEXTS + ["word " * 300], extra=True), WORD, seq_len=32, shard_rows=4)
+    manifest = {r.shard: r for r in write_shards(rows, folder).collect()}
+    want = {r.slot: r.ids for r in rows.collect()}
+    assert sum(m["rows"] for m in manifest.values()) == len(want) and all(m.stride == 64 for m in manifest.values())
+    for shard, m in manifest.items():
+        data = (tmp_path / "order" / m.file).read_bytes()
+        assert zlib.crc32(data) == m.crc32 and data == b"".join(want[s] for s in range(4 * shard, 4 * shard + m["rows"]))
+    got = read_slots(folder, 5, 6, 4, 32)
+    assert [r.tobytes() for r in got] == [bytes(want[s]) for s in range(5, min(11, len(want)))]
+    rest = [(s + i, r.tobytes()) for s, ids in stream(folder, 3, 5, 4, 32) for i, r in enumerate(ids)]
+    assert rest == [(s, bytes(want[s])) for s in range(3, len(want))]
+    files = sorted((tmp_path / "order").glob("shard-*.bin"))
+    kept = {f: f.stat().st_mtime_ns for f in files[1:]}
+    files[0].unlink()
+    write_shards(rows, folder)
+    assert files[0].exists() and all(f.stat().st_mtime_ns == t for f, t in kept.items())
+
+
+def test_ids_that_do_not_fit_raise(spark):
+    with pytest.raises(Exception, match="does not fit into 16 bits"):
+        materialise(documents(spark, TEXTS), WORD, end_id=70_000).collect()
