@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.coerce import ratio
+from ledgerline.operators.incremental import batch_numbers
 
 
 def unique_sessions(events: DataFrame, arm: str, step: str, session: str, steps: list[str], count_unknown: bool = False) -> DataFrame:
@@ -39,6 +40,17 @@ def split_private(events: DataFrame, private: str, marker: str = "captured") ->
     return public, events.filter(F.col(private).isNotNull())
 
 
+def private_text(rows: DataFrame, text: str, pattern: str, marker: str) -> DataFrame:
+    """rows with the text's private parts replaced by a marker, and their number; what was private is not kept."""
+    return rows.withColumns({"private": F.regexp_count(text, F.lit(pattern)).cast("long"), text: F.regexp_replace(text, pattern, marker)})
+
+
+def rota(rows: DataFrame, key: str, arms: int = 2, variants: int = 4) -> DataFrame:
+    """rows with arm_order and variant by their rank: counterbalanced whatever the keys."""
+    numbered = batch_numbers(rows, key, 1)
+    return numbered.withColumns({"arm_order": F.col("batch") % arms, "variant": F.col("batch") % variants}).drop("batch")
+
+
 def dwell(samples: DataFrame, by: list[str], at: str, state: str, close=None) -> DataFrame:
     """Seconds in each state: the time to the next sample is charged to the earlier state; close ends the last one."""
     w = Window.partitionBy(*by).orderBy(at)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import SEP
+from ledgerline.functions.text import SEP, escape_html, slug
 
 
 def flatten_tree(spark: SparkSession, tree: dict) -> DataFrame:
@@ -97,3 +97,60 @@ def generate_library(spark: SparkSession, n: int, shares: dict[str, float], salt
     paths = F.array(F.col("primary"), F.concat(F.lit("Timeline" + SEP), F.year("captured_on").cast("string")))
     paths = F.when(draw(2) < 0.22, F.array_union(paths, F.array(F.lit("Work" + SEP + "General")))).otherwise(paths)
     return base.withColumn("paths", paths)
+
+
+def lookup(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """paths (path) with their node's name, depth and is_leaf; unknown paths stay with NULLs."""
+    return paths.join(nodes.select("path", "name", "depth", "is_leaf"), "path", "left")
+
+
+def first_targets(targets: DataFrame, task: str, order: list[str]) -> DataFrame:
+    """The first row of every task."""
+    others = [c for c in targets.columns if c != task]
+    return targets.groupBy(task).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__t")).select(task, *(F.col(f"__t.{c}").alias(c) for c in others))
+
+
+def target_ids(targets: DataFrame, task: str, id_column: str, order: str) -> DataFrame:
+    """task, position (from 1), id in order of insertion: the list of each task's ids as rows, so that no list has to fit into a task."""
+    w = Window.partitionBy(task).orderBy(order, id_column)
+    return targets.select(task, F.row_number().over(w).alias("position"), id_column)
+
+
+def placed(assets: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """assets with the country, city and coordinates of their place key; an unknown key stays with NULLs."""
+    return assets.join(places, key, "left")
+
+
+def library_scan(assets: DataFrame, at: str, id_column: str, hidden: Column, newest: int | None = None, first: int | None = None) -> DataFrame:
+    """Assets that are not hidden, oldest first; or only the newest, newest first, or the first ones. Ties go by id."""
+    shown = assets.filter(~F.coalesce(hidden, F.lit(False)))
+    if newest is not None:
+        return shown.orderBy(F.desc(at), id_column).limit(newest)
+    ordered = shown.orderBy(at, id_column)
+    return ordered if first is None else ordered.limit(first)
+
+
+def valid_paths(leaves: DataFrame, years: range, root: str = "Timeline") -> DataFrame:
+    """Leaves and the timeline's years, each once."""
+    spark = leaves.sparkSession
+    line = spark.range(years.start, years.stop).select(F.concat(F.lit(root + SEP), F.col("id").cast("string")).alias("path"))
+    return leaves.select("path").union(line).distinct()
+
+
+def synthetic_assets(spark: SparkSession, n: int, text_share: float) -> DataFrame:
+    """id, has_text: of every hundred ids the first text_share hundredths hold text."""
+    return spark.range(n).select("id", (F.pmod("id", F.lit(100)) < 100 * text_share).alias("has_text"))
+
+
+def page_html(view: DataFrame, id_column: str) -> DataFrame:
+    """path, html: a catalogue page for each path of a leaf view (at most the view's n rows a path), its assets in rank order."""
+    rows = F.sort_array(F.collect_list(F.struct("rank", F.col(id_column).cast("string").alias("id"))))
+    pages = view.groupBy("path").agg(rows.alias("r"), F.max("more").alias("more"))
+    items = F.array_join(F.transform("r", lambda x: F.concat(F.lit("<li>"), escape_html(x["id"]), F.lit("</li>"))), "")
+    more = F.when(F.col("more") > 0, F.concat(F.lit("<p>"), F.col("more").cast("string"), F.lit(" more</p>"))).otherwise(F.lit(""))
+    return pages.select("path", F.concat(F.lit("<h1>"), escape_html(F.col("path")), F.lit("</h1><ol>"), items, F.lit("</ol>"), more).alias("html"))
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """One folder for each path's slug with its page."""
+    pages.select(slug(F.col("path")).alias("slug"), F.col("html").alias("value")).write.mode("overwrite").partitionBy("slug").text(folder)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ranking
+
 
 def latest(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last change of every key; of equal order a delete wins."""
@@ -36,18 +38,42 @@ def owned_delete(index: DataFrame, wanted: DataFrame, owned: DataFrame, key: str
 
 
 def batch_numbers(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """batch = rank of the key // size, for dense keys of any start and end.
-
-    A global rank without one task that sees all rows: rows are range-partitioned, partitions are counted, and each
-    row's rank within its partition is added to the rows before it (one number for each partition).
-    """
-    parts = rows.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    return ranked.join(F.broadcast(before), "__p").withColumn("batch", F.floor((F.col("__before") + F.col("__r") - 1) / size)).drop("__p", "__r", "__before")
+    """batch = rank of the key // size, for dense keys of any start and end; other columns stay. Equal keys rank in any order."""
+    ranked = ranking.running(ranking.laid_out(rows, key), [], [key], F.lit(1))
+    return ranked.withColumn("batch", F.floor((F.col("total") - 1) / size)).drop(ranking.PART, "total")
 
 
 def run_flags(source: str = "delta_source") -> dict:
     """required_full_rescan: the change token had expired; the caller falls back to a full batch."""
-    return {"required_full_rescan": F.coalesce(F.col(source) == "token-expired-full-rescan", F.lit(False))}
+    return {"required_full_rescan": F.coalesce(F.col(source) == EXPIRED, F.lit(False))}
+
+
+# Where a run's delta came from.
+FIRST, EXPIRED, CONTINUED = "first-run", "token-expired-full-rescan", "persistent-token"
+
+
+def delta_since(changes: DataFrame, token: Column, oldest: Column, at: str = "seq") -> DataFrame:
+    """changes after the token with their source. No token yet: no changes, and the caller keeps the newest `at` as its token. A token from before
+    the oldest change still kept has expired: no changes either, and the run is flagged for a full rescan."""
+    source = F.when(token.isNull(), FIRST).when(token < oldest, EXPIRED).otherwise(CONTINUED)
+    return changes.withColumn("delta_source", source).filter((F.col("delta_source") == CONTINUED) & (F.col(at) > token)).withColumns(run_flags())
+
+
+def delta_report(changes: DataFrame, token: Column, oldest: Column, at: str = "seq") -> DataFrame:
+    """One row: delta_source, required_full_rescan, the ops counted and the token to keep, also where nothing is new."""
+    source = F.when(token.isNull(), FIRST).when(token < oldest, EXPIRED).otherwise(CONTINUED)
+    new = (source == CONTINUED) & (F.col(at) > token)
+    count = lambda op: F.count_if(new & (F.col("op") == op)).alias(f"delta_{op}d" if op.endswith("e") else f"delta_{op}ed")
+    got = changes.agg(count("insert"), count("update"), count("delete"), F.max(at).alias("token"))
+    return got.withColumn("delta_source", source).withColumns(run_flags())
+
+
+def token_age(token_at: Column, now: Column) -> Column:
+    """Whole seconds since the token was taken; NULL without one."""
+    return F.unix_timestamp(now) - F.unix_timestamp(token_at)
+
+
+def flagged(assets: DataFrame, ids: DataFrame, key: str, name: str = "synthetic") -> DataFrame:
+    """assets with a flag: the key is among ids. Both sides are dealt by key; a small side is broadcast by the optimizer's own size check."""
+    marks = ids.select(F.col(key).alias("__id")).distinct()
+    return assets.join(marks, F.col(key) == F.col("__id"), "left").withColumn(name, F.col("__id").isNotNull()).drop("__id")

@@ -27,10 +27,11 @@ def shifted(df: DataFrame, column: str, prefix: str, needs: str = ",") -> DataFr
     return df.filter(F.lower(F.col(column)).startswith(prefix) & ~F.col(column).contains(needs))
 
 
-def constraints(df: DataFrame, predicates: dict[str, tuple[Column, int]]) -> DataFrame:
-    """name, expected, got, status for named predicates with expected counts, counted in one pass."""
-    counts = df.agg(*(F.count_if(p).alias(f"c{i}") for i, (p, _) in enumerate(predicates.values())))
-    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(e).cast("bigint").alias("expected"), F.col(f"c{i}").alias("got")) for i, (n, (_, e)) in enumerate(predicates.items())))
+def constraints(df: DataFrame, predicates: dict[str, tuple[Column, int | Column]]) -> DataFrame:
+    """name, expected, got, status for named predicates with expected counts (numbers, or aggregates of df), counted in one pass."""
+    counts = df.agg(*(F.count_if(p).alias(f"c{i}") for i, (p, _) in enumerate(predicates.values())), *((e if isinstance(e, Column) else F.max(F.lit(e))).cast("bigint").alias(f"e{i}") for i, (_, e) in enumerate(predicates.values())))
+    fixed = [None if isinstance(e, Column) else e for _, e in predicates.values()]
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), (F.col(f"e{i}") if fixed[i] is None else F.lit(fixed[i]).cast("bigint")).alias("expected"), F.col(f"c{i}").alias("got")) for i, n in enumerate(predicates)))
     return counts.select(F.inline(rows)).withColumn("status", F.when(F.col("got") == F.col("expected"), "OK").otherwise("FAIL"))
 
 
@@ -88,6 +89,49 @@ def ranked(checks: DataFrame) -> DataFrame:
     return checks.orderBy(F.array_position(F.array(*map(F.lit, ORDER)), F.col("status")), "category")
 
 
-def all_equal(df: DataFrame, text: Column) -> DataFrame:
-    """variants, equal: whether all texts are one after normalisation; nothing to compare is not equal."""
-    return df.agg(F.count_distinct(F.md5(text)).alias("variants"), F.count("*").alias("n")).withColumn("equal", F.col("variants") == 1)
+def all_equal(df: DataFrame, text: Column, by: list[str] | None = None) -> DataFrame:
+    """by, variants, n, equal: whether all texts are one after normalisation; nothing to compare is not equal."""
+    return df.groupBy(*by or []).agg(F.count_distinct(F.md5(text)).alias("variants"), F.count("*").alias("n")).withColumn("equal", F.col("variants") == 1)
+
+
+def tallies(checks: DataFrame) -> DataFrame:
+    """One row: checks by status and the exit code, 1 if any fails. No check at all is a warning."""
+    of = lambda s: F.count_if(F.col("status") == s).alias(s)
+    got = checks.agg(*map(of, ORDER), F.count("*").alias("n"))
+    return got.withColumns({"status": F.when(F.col("FAIL") > 0, "FAIL").when((F.col("WARN") > 0) | (F.col("n") == 0), "WARN").otherwise("OK"), "exit_code": F.when(F.col("FAIL") > 0, 1).otherwise(0)})
+
+
+def header_differences(found: DataFrame, expected: DataFrame, column: str = "column") -> DataFrame:
+    """column, side (missing or unexpected) of two tables of names."""
+    a, b = found.select(column).distinct(), expected.select(column).distinct()
+    return b.join(a, column, "left_anti").withColumn("side", F.lit("missing")).union(a.join(b, column, "left_anti").withColumn("side", F.lit("unexpected")))
+
+
+def required(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """expected with status: FAIL where it is not found."""
+    there = found.select(F.col(key).alias("__k")).distinct()
+    return expected.join(there, F.col(key) == F.col("__k"), "left").withColumn("status", F.when(F.col("__k").isNull(), "FAIL").otherwise("OK")).drop("__k")
+
+
+def milestones(plan: Column, state: Column) -> dict[str, Column]:
+    """What a plan and a state document call the current milestone, whether they agree, and whether the plan contradicts itself.
+
+    Only the text between the plan's heading of a milestone and the next heading counts as its section. Unknown on either side is a warning.
+    """
+    head = F.regexp_extract(plan, r"Current position:\s*\**([^*\n]+)", 1)
+    current = F.nullif(F.regexp_extract(head, r"(?i)\b(M\d)\b[^·|]{0,60}?IN PROGRESS", 1), F.lit(""))
+    stage = F.nullif(F.regexp_extract(F.regexp_extract(state, r"(?m)^- Stage:\s*(.+)$", 1), r"\b(M\d)\b", 1), F.lit(""))
+    done = F.array_distinct(F.regexp_extract_all(head, F.lit(r"(?i)\b(M\d)\s*complete"), F.lit(1)))
+    sections = F.regexp_extract_all(plan, F.lit(r"(?sm)^##\s*(M\d\b.*?)(?=^##\s|\z)"), F.lit(1))
+    running = F.filter(sections, lambda x: F.upper(x).contains("IN PROGRESS"))
+    against = F.exists(running, lambda x: F.array_contains(done, F.left(x, F.lit(2))))
+    status = F.when(current.isNull() | stage.isNull(), "WARN").when((current != stage) | against, "FAIL").otherwise("OK")
+    return {"plan_milestone": current, "state_milestone": stage, "contradiction": against, "status": status}
+
+
+def gated(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """rows if every check (name, status) is OK; otherwise nothing is written and the failed names are raised."""
+    bad = [r.name for r in checks.filter(F.col("status") != "OK").select("name").orderBy("name").collect()]  # a hand-written list of checks
+    if bad:
+        raise ValueError(f"not written: {', '.join(bad)}")
+    return rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import coerce, signals, stats
+from ledgerline.operators import ranking
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,22 @@ def minimum_supported(devices: DataFrame) -> DataFrame:
     return oldest.crossJoin(F.broadcast(older))  # one row each
 
 
+def minimum_statement(devices: DataFrame) -> DataFrame:
+    """One row: what may be said of the minimum: NO DATA without a device of known rank, NO DEVICE PASSES with what blocks them, else the oldest that passes,
+    MEASURED where an older one was tested and failed and OLDEST AVAILABLE where none was. An A3 failure among the blocks is fatal."""
+    known = F.col("rank") >= 0
+    passing = known & F.col("supported")
+    oldest = devices.agg(F.count_if(known).alias("ranked"), F.min_by(F.when(passing, F.col("device_model")), F.when(passing, F.struct("rank", "device_model"))).alias("minimum"), F.min(F.when(passing, F.col("rank"))).alias("at"), F.min(F.when(known, F.col("rank"))).alias("oldest_tested"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(known, F.col("blocked_by")))))).alias("blocked"))
+    said = F.when(F.col("ranked") == 0, "NO DATA").when(F.col("minimum").isNull(), "NO DEVICE PASSES").when(F.col("oldest_tested") < F.col("at"), "MEASURED").otherwise("OLDEST AVAILABLE")
+    blocked = F.when(F.col("minimum").isNull(), F.array_join("blocked", ","))
+    return oldest.select(said.alias("statement"), "minimum", blocked.alias("blocked_by"), (F.col("minimum").isNull() & F.array_contains("blocked", "A3")).alias("fatal"))
+
+
+def ordered_devices(devices: DataFrame) -> DataFrame:
+    """Oldest chip first, unknown chips before all."""
+    return devices.orderBy("rank", "device_model")
+
+
 def criteria(counts: DataFrame, rows: list[tuple[str, str, str, float]]) -> DataFrame:
     """counts: one row; rows: (criterion, column of k, column of n, threshold). A row for each criterion with its interval and verdict."""
     listed = F.array(*(F.struct(F.lit(c).alias("criterion"), F.col(k).alias("k"), F.col(n).alias("n"), F.lit(float(t)).alias("threshold")) for c, k, n, t in rows))
@@ -93,7 +110,9 @@ def criteria(counts: DataFrame, rows: list[tuple[str, str, str, float]]) -> Data
 
 def paired_wins(tasks: DataFrame, spine: list[str], task: str, arm: str, measures: list[str], better: str = "proto", base: str = "apple") -> DataFrame:
     """Medians of both arms for every task of the spine; wins where the better arm is strictly lower in all; an empty arm is NO DATA."""
-    medians = tasks.groupBy(F.col(task).alias("task")).agg(*(F.median(F.when(F.col(arm) == a, F.col(m))).alias(f"{a}_{m}") for a in (better, base) for m in measures))
+    long = tasks.filter(F.col(arm).isin(better, base)).select(F.col(task).alias("task"), F.inline(F.array(*(F.struct(F.concat(F.col(arm), F.lit(f"_{m}")).alias("__name"), F.col(m).cast("double").alias("__measure")) for m in measures))))
+    names = [f"{a}_{m}" for a in (better, base) for m in measures]
+    medians = ranking.medians(long, ["task", "__name"], "__measure").groupBy("task").pivot("__name", names).agg(F.first("median"))
     out = tasks.sparkSession.createDataFrame([(s,) for s in spine], "task string").join(medians, "task", "left")
     known = F.lit(True)
     wins = F.lit(True)
@@ -154,10 +173,9 @@ def study_d(rows: DataFrame) -> dict[str, DataFrame]:
         F.count_if(every(HIGH_RISK, "never")).alias("k5a"), F.count_if(every(LOW_RISK, "auto")).alias("k5b"), F.count_if(coerce.yes("recoverability_changed")).alias("k6"),
     )
     table = criteria(counts, [("D-P1", "k1", "n", 0.7), ("D-P2", "k2", "n", 0.4), ("D-P3", "k3", "n", 0.7), ("D-P4", "k4", "n", 0.6), ("D-P5a", "k5a", "n", 0.8), ("D-P5b", "k5b", "n", 0.6), ("D-P6", "k6", "n", 0.5)])
-    answers = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("content"), F.lower(F.trim(F.col(c))).alias("answer")) for c in TOLERANCES))))
-    matrix = on_spine(rows.sparkSession, "content", TOLERANCES, answers.groupBy("content").pivot("answer", ["auto", "ask", "never"]).agg(F.count("answer")), {"auto": 0, "ask": 0, "never": 0})
-    crossover = coerce.number("queue_crossover")
-    burden = rows.agg(F.median(F.when(crossover > 0, crossover)).alias("crossover")).withColumn("per_1000", F.col("crossover") / 10)
+    long = rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("content"), F.lower(F.trim(F.col(c))).alias("answer")) for c in TOLERANCES))))
+    matrix = on_spine(rows.sparkSession, "content", TOLERANCES, answers(long, F.col("content"), "content", F.col("answer"), ["auto", "ask", "never"]), {"auto": 0, "ask": 0, "never": 0})
+    burden = review_burden(rows.select(coerce.number("queue_crossover").alias("crossover")), [], "crossover")
     by_variant = rows.groupBy(F.upper(F.trim(F.col("ledger_variant"))).alias("variant")).agg(F.count("*").alias("n"), F.count_if(quick).alias("understood"), F.count_if(coerce.yes("identified_work_done")).alias("said_done"), F.count_if(mode == "3").alias("autonomous"))
     variants = on_spine(rows.sparkSession, "variant", VARIANTS, by_variant, {"n": 0, "understood": 0, "said_done": 0, "autonomous": 0})
     of = lambda name: F.max(F.when(F.col("criterion") == name, F.col("verdict")))
@@ -167,6 +185,17 @@ def study_d(rows: DataFrame) -> dict[str, DataFrame]:
     return {"criteria": table, "answers": matrix, "gradient": gradient(rows, TOLERANCES), "burden": burden, "variants": variants, "verdict": verdict}
 
 
+def answers(rows: DataFrame, by: Column, name: str, answer: Column, domain: list[str]) -> DataFrame:
+    """A row for each value of by, a column for each answer of the fixed domain: how often it was given; others are not counted."""
+    return rows.groupBy(by.alias(name)).agg(*(F.count_if(answer == a).alias(a) for a in domain))
+
+
+def review_burden(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by, crossover (the exact median of the values above 0) and per_1000; groups without any are left out, but for the one row without by."""
+    got = ranking.medians(rows.filter(F.col(column) > 0), by, column)
+    return got.select(*by, F.col("median").alias("crossover"), (F.col("median") / 10).alias("per_1000"))
+
+
 def gradient(df: DataFrame, columns: list[str], value: str = "auto", margin: float = 0.3) -> DataFrame:
     """Mean rate of `value` in the first two columns against the last two: GRADED where it is more than margin higher."""
     rate = lambda c: F.avg((F.lower(F.trim(F.col(c))) == value).cast("double"))

@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import coerce, signals, stats, text
-from ledgerline.operators import funnel, hierarchy, incremental, quality, verdicts
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ledgerline.operators import funnel, hierarchy, incremental, memory, quality, verdicts
+from ledgerline.plans.base import ORACLE_SQL, QUERIES, WILSON, query, r
 
 STEPS = ["view", "signup", "click", "purchase", "error"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c, places: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, places)
-
-
 @query("""SELECT user_id % 3 AS arm, """ + ", ".join(f"count(DISTINCT user_id) FILTER (event_type = '{s}') AS {s}" for s in STEPS) + " FROM events GROUP BY 1")
 def funnel_unique_sessions(spark, t):
     events = t("events").select((F.col("user_id") % 3).alias("arm"), "event_type", "user_id")
@@ -47,9 +28,6 @@ def funnel_rates(spark, t):
     return got.select("arm", r("click_rate").alias("click_rate"), r("purchase_rate").alias("purchase_rate"), F.when(F.col("click_rate") >= 2.5, "PASS").otherwise("FAIL").alias("verdict"))
 
 
-WILSON = """(k / n::DOUBLE + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)"""
-
-
 @query(f"""WITH c AS (SELECT source, sum(quality)::BIGINT k, count(*) n FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 w AS (SELECT *, greatest(0.0, {WILSON.format(s='-')}) lo, least(1.0, {WILSON.format(s='+')}) hi FROM c)
 SELECT source, k, n, round(k / n::DOUBLE, 6) p, round(lo, 6) low, round(hi, 6) high, CASE WHEN k / n::DOUBLE >= 0.7 THEN 'PASS' ELSE 'FAIL' END verdict, lo < 0.7 AND 0.7 < hi inconclusive, CASE WHEN lo < 0.7 AND 0.7 < hi THEN 'INCONCLUSIVE' WHEN k / n::DOUBLE >= 0.7 THEN 'PASS' ELSE 'FAIL' END resolved FROM w""")
@@ -175,14 +153,13 @@ def unreachable_targets(spark, t):
 @query("""SELECT side, count(*) n, sum(n_chars)::BIGINT chars FROM (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'usable' ELSE 'pilot' END side, n_chars FROM documents) GROUP BY 1""")
 def usable_and_pilot(spark, t):
     good, docs = t("labels").filter("quality = 1").select("doc_id"), t("documents").select("doc_id", "n_chars")
-    both = docs.join(good, "doc_id", "left_semi").withColumn("side", F.lit("usable")).union(docs.join(good, "doc_id", "left_anti").withColumn("side", F.lit("pilot")))
-    return both.groupBy("side").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    marked = incremental.flagged(docs, good, "doc_id", "usable")
+    return marked.groupBy(F.when(F.col("usable"), "usable").otherwise("pilot").alias("side")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("""SELECT * FROM (SELECT 'big' AS name, 0::BIGINT AS expected, count(*) FILTER (p_size > 60) got FROM part UNION ALL SELECT 'priced', count(*) , count(*) FILTER (p_retailprice > 0) FROM part UNION ALL SELECT 'economy', 1, count(*) FILTER (p_type = 'ECONOMY') FROM part), LATERAL (SELECT CASE WHEN got = expected THEN 'OK' ELSE 'FAIL' END AS status)""")
 def constraint_check(spark, t):
-    part = t("part")
-    return quality.constraints(part, {"big": (F.col("p_size") > 60, 0), "priced": (F.col("p_retailprice") > 0, part.count()), "economy": (F.col("p_type") == "ECONOMY", 1)})
+    return quality.constraints(t("part"), {"big": (F.col("p_size") > 60, 0), "priced": (F.col("p_retailprice") > 0, F.count("*")), "economy": (F.col("p_type") == "ECONOMY", 1)})
 
 
 @query("""SELECT event_type, round(sum(s), 3) AS seconds FROM (SELECT event_type, coalesce((epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts)) / 1e6, 0) s FROM events) GROUP BY 1""")
@@ -242,12 +219,10 @@ def dhash_vectors(spark, t):
 @query("""WITH g AS (SELECT md5(text) h, n_chars, min(doc_id) original, count(*) n FROM documents GROUP BY 1, 2 HAVING count(*) > 1) SELECT doc_id, original, n AS copies FROM documents d JOIN g ON md5(d.text) = h AND d.n_chars = g.n_chars""")
 def exact_duplicates(spark, t):
     docs = t("documents").select("doc_id", F.md5("text").alias("h"), "n_chars")
-    groups = quality.duplicate_keys(docs, ["h", "n_chars"]).select("h", "n_chars")
-    found = docs.groupBy("h", "n_chars").agg(F.min("doc_id").alias("original"), F.count("*").alias("copies")).join(groups, ["h", "n_chars"], "left_semi")
-    return docs.join(found, ["h", "n_chars"]).select("doc_id", "original", "copies")
+    return memory.exact_duplicates(docs, "doc_id", ["h", "n_chars"])
 
 
-@query("""WITH c AS (SELECT doc_id, [least(ascii(x), 255) FOR x IN string_split(left(text, 4096), '')] l FROM documents WHERE doc_id % 1 = 0), b AS (SELECT doc_id, unnest(l) // 16 AS bin, len(l) n FROM c WHERE len(l) >= 2), p AS (SELECT doc_id, max(k) AS peak FROM (SELECT doc_id, bin, count(*) k FROM b GROUP BY 1, 2) GROUP BY 1),
+@query("""WITH c AS (SELECT doc_id, [least(ascii(x), 255) FOR x IN string_split(text, '')] l FROM documents), b AS (SELECT doc_id, unnest(l) // 16 AS bin, len(l) n FROM c WHERE len(l) >= 2), p AS (SELECT doc_id, max(k) AS peak FROM (SELECT doc_id, bin, count(*) k FROM b GROUP BY 1, 2) GROUP BY 1),
 e AS (SELECT doc_id, len(l) n, len(list_filter(list_zip(l[:-2], l[2:]), lambda z: abs(z[1] - z[2]) > 40)) AS edges FROM c WHERE len(l) >= 2)
 SELECT doc_id, round(least(1.0, 1.5 * edges / (n - 1)::DOUBLE + 0.5 * peak / n::DOUBLE), 6) AS likelihood FROM e JOIN p USING (doc_id) UNION ALL SELECT doc_id, 0.0 FROM c WHERE len(l) < 2""")
 def text_likelihood(spark, t):
@@ -284,7 +259,7 @@ def lenient_json(spark, t):
 @query("""SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g')) AS clean, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'))::BIGINT AS n FROM documents""")
 def pii_split(spark, t):
     mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-    return t("documents").select("doc_id", F.md5(F.regexp_replace("text", mail, "<email>")).alias("clean"), F.regexp_count("text", F.lit(mail)).cast("long").alias("n"))
+    return funnel.private_text(t("documents").select("doc_id", "text"), "text", mail, "<email>").select("doc_id", F.md5("text").alias("clean"), F.col("private").alias("n"))
 
 
 @query("""SELECT p_partkey, regexp_replace(replace(lower(p_type), ' ', '-'), '^-+|-+$', '', 'g') || '_' || regexp_replace(replace(replace(lower(p_name || ' & ' || p_brand), ' ', '-'), '&', 'and'), '^-+|-+$', '', 'g') AS slug FROM part""")
@@ -294,7 +269,7 @@ def slugs(spark, t):
 
 @query("""SELECT o_orderpriority AS priority, count(*) FILTER (o_orderstatus = 'F') F, count(*) FILTER (o_orderstatus = 'O') O, count(*) FILTER (o_orderstatus = 'P') P FROM orders GROUP BY 1""")
 def ordinal_matrix(spark, t):
-    return t("orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).na.fill(0)
+    return verdicts.answers(t("orders"), F.col("o_orderpriority"), "priority", F.col("o_orderstatus"), ["F", "O", "P"])
 
 
 @query("""SELECT round((avg((o_orderstatus='F')::INT) + avg((o_orderpriority='1-URGENT')::INT)) / 2, 6) AS low_risk, round((avg((o_orderstatus='F')::INT) + avg((o_orderpriority='5-LOW')::INT)) / 2, 6) AS high_risk, 'FLAT' AS gradient FROM orders""")
@@ -312,13 +287,13 @@ def variant_spine(spark, t):
 
 @query("""SELECT arm, variant, count(*) n FROM (SELECT (row_number() OVER (ORDER BY c_custkey) - 1) % 2 AS arm, (row_number() OVER (ORDER BY c_custkey) - 1) % 4 AS variant FROM customer) GROUP BY 1, 2""")
 def rota(spark, t):
-    numbered = incremental.batch_numbers(t("customer").select("c_custkey"), "c_custkey", 1)
-    return numbered.groupBy((F.col("batch") % 2).alias("arm"), (F.col("batch") % 4).alias("variant")).agg(F.count("*").alias("n"))
+    numbered = funnel.rota(t("customer").select("c_custkey", "c_name"), "c_custkey")
+    return numbered.groupBy(F.col("arm_order").alias("arm"), "variant").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT event_type, round(median(CASE WHEN value > 0 THEN value END) / 10, 6) AS per_1000 FROM events GROUP BY 1""")
 def crossover_per_1000(spark, t):
-    return t("events").groupBy("event_type").agg(r(F.median(F.when(F.col("value") > 0, F.col("value"))) / 10).alias("per_1000"))
+    return verdicts.review_burden(t("events"), ["event_type"], "value").select("event_type", r("per_1000").alias("per_1000"))
 
 
 @query("""SELECT category, coalesce(n, 0) n, round(coalesce(n, 0) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS share, target, abs(coalesce(n, 0) / (SELECT count(*) FROM documents)::DOUBLE - target) <= 0.05 AS within FROM (VALUES ('en', 0.6::DOUBLE), ('fr', 0.15), ('de', 0.15), ('es', 0.1), ('it', 0.0)) v(category, target) LEFT JOIN (SELECT lang category, count(*) n FROM documents GROUP BY 1) USING (category)""")
@@ -337,8 +312,7 @@ def trip_membership(spark, t):
     place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
     owner = t("customer").select("c_custkey", "c_nationkey").join(F.broadcast(place), "c_nationkey")
     rows = t("orders").select("o_orderkey", "o_custkey", "o_orderdate").join(owner, F.col("o_custkey") == F.col("c_custkey"))
-    hit = rows.join(F.broadcast(trips), "r_name").filter("o_orderdate >= a AND o_orderdate < b")  # trips: a literal table
-    return hit.groupBy("trip").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    return memory.in_windows(rows, trips, "r_name", "o_orderdate").groupBy("trip").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -363,8 +337,7 @@ def snapshot_compare(spark, t):
 @query("""SELECT lang, count(DISTINCT x) AS variants, count(*) AS n, count(DISTINCT x) = 1 AS equal FROM (SELECT regexp_extract(html, 'lang="([a-z]+)"', 1) lang, md5(regexp_replace(regexp_replace(regexp_replace(html, '>[^<]+<', '><', 'g'), '<a [^>]*>', '<a>', 'g'), '<!--[^>]*-->', '', 'g')) x FROM pages) GROUP BY 1""")
 def template_equality(spark, t):
     bare = text.skeleton(F.regexp_replace(F.regexp_replace("html", ">[^<]+<", "><"), "<a [^>]*>", "<a>"), ["<!--[^>]*-->"])
-    pages = t("pages").select(F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"), F.md5(bare).alias("x"))
-    return pages.groupBy("lang").agg(F.count_distinct("x").alias("variants"), F.count("*").alias("n")).withColumn("equal", F.col("variants") == 1)
+    return quality.all_equal(t("pages").withColumn("lang", F.regexp_extract("html", 'lang="([a-z]+)"', 1)), bare, ["lang"])
 
 
 @query("""WITH c AS (SELECT lang AS category, count(*) n, count(*) FILTER (n_chars < 100) short FROM documents GROUP BY 1) SELECT category, CASE WHEN n = 0 THEN 'WARN' WHEN short > 0 THEN 'FAIL' ELSE 'OK' END AS status FROM c""")
@@ -392,7 +365,7 @@ def overall_verdict(spark, t):
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 60""")
 def newest_60(spark, t):
-    return t("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(60).select("o_orderkey", "o_totalprice")
+    return hierarchy.library_scan(t("orders"), "o_orderdate", "o_orderkey", F.lit(False), newest=60).select("o_orderkey", "o_totalprice")
 
 
 @query("""SELECT 'lang' AS kind, lang AS name, count(*) n, min(doc_id) AS "first" FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*), min(doc_id) FROM documents GROUP BY 2""")
@@ -403,11 +376,8 @@ def group_members(spark, t):
 
 @query("""SELECT user_id, count(*) n, count(DISTINCT g) AS bursts FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) g FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 gap FROM events)) GROUP BY 1""")
 def moment_bursts(spark, t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = (at - F.lag(at).over(w)) / 1e6
-    marked = t("events").withColumn("new", F.when(gap.isNull() | (gap > 86400), 1).otherwise(0))
-    return marked.withColumn("g", F.sum("new").over(w)).groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("g").alias("bursts"))
+    runs = memory.sessions(t("events"), ["user_id"], "ts", 86400, ["event_id"])
+    return runs.groupBy("user_id").agg(F.count("*").alias("n"), F.count_distinct("session").alias("bursts"))
 
 
 @query("""WITH m AS (SELECT any_value(embedding) v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(sqrt(list_sum([(embedding[i]::DOUBLE - v[i]) * (embedding[i]::DOUBLE - v[i]) FOR i IN range(1, 65)])), 6) AS distance FROM embeddings, m""")
@@ -425,6 +395,14 @@ def stream_funnel(spark, t):
 
 @query("""SELECT o_custkey AS k, max(o_orderkey) AS "last" FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1""")
 def stream_merge(spark, t):
+    from ledgerline.storage import fresh
     from ledgerline.streaming.merge import streamed_latest
 
-    return streamed_latest(spark, t("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("last")), F.col("k") % 7 == 0)
+    path = fresh(spark, "orders")
+    t("orders").select("o_custkey", "o_orderkey").repartition(3).write.parquet(path)
+    return streamed_latest(spark, spark.read.parquet(path), F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey") % 7 == 0)
+
+
+from ledgerline.plans import catalogue, decisions, studies, tables  # noqa: E402, F401  each adds its queries
+
+query(decisions.statement_sql(_RUNS))(decisions.minimum_statements)

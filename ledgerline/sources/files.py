@@ -52,7 +52,9 @@ def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def fixed(c: str, places: int = 3):
-    return F.format_string(f"%.{places}f", F.col(c).cast("double")).alias(c)
+    """A number with so many decimals; the binary value is rounded, ties to even."""
+    exact = F.format_number(F.col(c).cast("double"), places)
+    return F.replace(exact, F.lit(","), F.lit("")).alias(c)
 
 
 def read_document(spark: SparkSession, path: str, explode: str | None = None) -> DataFrame:
@@ -123,3 +125,15 @@ def report(df: DataFrame, title: str) -> str:
     """A result as a markdown table, all rows."""
     head = f"# {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in row) + " |\n" for row in df.toLocalIterator())
+
+
+def land(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests with status, events) of raw requests (method, path, body) as a collector leaves them in its landing folder: 204 for an event,
+    404 for another method or path, 400 for a body that is no JSON object. Fields an event lacks are NULL."""
+    parsed = F.from_json("body", "arm string, sid string, event string, extra map<string,string>, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    read = requests.withColumn("__e", parsed)
+    known = (F.col("method") == "POST") & (F.col("path") == "/event")
+    good = F.col("__e").isNotNull() & F.col("__e._broken").isNull() & F.trim("body").startswith("{")
+    marked = read.withColumn("status", F.when(~F.coalesce(known, F.lit(False)), 404).when(F.coalesce(good, F.lit(False)), 204).otherwise(400))
+    events = marked.filter("status = 204").select(*(c for c in requests.columns if c not in ("method", "path", "body")), "__e.arm", "__e.sid", "__e.event", "__e.extra")
+    return marked.drop("__e"), events

@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.funnel import unique_sessions
-from ledgerline.streaming.storage import scratch
+from ledgerline.storage import fresh
 
 
-def read_stream(spark: SparkSession, like: DataFrame) -> DataFrame:
-    """The Parquet files of a batch frame as a stream of the same schema."""
-    files = [f for f in like.inputFiles()]
+def read_stream(spark: SparkSession, like: DataFrame, per_trigger: int | None = None) -> DataFrame:
+    """The Parquet files of a batch frame as a stream of the same schema; per_trigger: files in a micro-batch at most."""
+    files = like.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
+    reader = spark.readStream.schema(like.schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
     if len(files) == 1:
-        return spark.readStream.schema(like.schema).option("pathGlobFilter", files[0].rsplit("/", 1)[1]).parquet(folder)
-    return spark.readStream.schema(like.schema).parquet(folder)
+        reader = reader.option("pathGlobFilter", files[0].rsplit("/", 1)[1])
+    return reader.parquet(folder)
 
 
 def streamed_funnel(spark: SparkSession, events: DataFrame, steps: list[str]) -> DataFrame:
     """unique_sessions() over everything a stream holds now: (arm, step, session) are kept once by the stream, in update mode, and counted from the table written."""
-    out = f"{scratch(spark)}/funnel-{uuid.uuid4().hex}"
+    out = fresh(spark, "funnel")
     stream = read_stream(spark, events).select((F.col("user_id") % 3).alias("arm"), "event_type", "user_id").dropDuplicates(["arm", "event_type", "user_id"])
     run = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return unique_sessions(spark.read.parquet(f"{out}/rows"), "arm", "event_type", "user_id", steps)
+
+
+def deduplicated(stream: DataFrame, by: list[str], at: str, exempt: Column, late: str = "10 minutes") -> DataFrame:
+    """The first event of each key within the watermark, all events where exempt holds. State is dropped as the watermark passes, so it is bounded by the keys of that span."""
+    marked = stream.withColumn("__once", F.when(F.coalesce(exempt, F.lit(False)), F.uuid()).otherwise(F.lit("")))
+    return marked.withWatermark(at, late).dropDuplicatesWithinWatermark([*by, "__once"]).drop("__once")
+
+
+def run_once(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream holds now, taken in as many micro-batches as its source makes, as a table."""
+    out = fresh(stream.sparkSession, name)
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")

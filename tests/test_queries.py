@@ -32,8 +32,12 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
 
 
+#: Neighbouring characters are compared in one pass over Arrow batches: as array functions that took ten times as long.
+IN_BATCHES = {"text_likelihood"}
+
+
 def test_plans_use_no_python(spark):
     for name in registry.QUERIES:
-        if not name.startswith("stream_"):
+        if not name.startswith("stream_") and name not in IN_BATCHES:
             plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
             assert "Python" not in plan and "MapIn" not in plan, name
