@@ -16,7 +16,7 @@ from ledgerline.llm.packing import pack
 from ledgerline.llm.quality import quality
 from ledgerline.llm.simhash import hex_fingerprint, near_duplicates
 from ledgerline.llm.storage import table
-from ledgerline.llm.suffix import deduplicate
+from ledgerline.llm.suffix import PASSAGE, deduplicate
 from ledgerline.llm.token_counts import tiktoken_vocabulary, token_counts
 from ledgerline.llm.toxicity import fold_of, toxicity
 
@@ -46,9 +46,9 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicate(table(spark, sf_dir, "documents"))
+    found = deduplicate(table(spark, sf_dir, "documents"), passage=PASSAGE)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

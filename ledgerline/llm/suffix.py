@@ -227,13 +227,15 @@ def duplicate_ranges(placed: DataFrame, length: int = LENGTH, gram: int = GRAM,
     classes = runs.groupBy("key", "body").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi", "twice")).alias("at"))
     size = F.col("at.hi") - F.col("at.lo") + length
     keys = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(size).alias("symbols"))
-    asked = classes.join(keys, "key").filter((F.col("kinds") > 1) | ((F.col("n") == 1) & F.col("at.twice")))
-    asked = saved(asked.select("key", "n", "symbols", "at.rid", "at.lo", "at.hi"), "asked")
-    copies = classes.filter("n > 1").select("key", "body")
+    alone = (F.col("n") == 1) & (F.col("kinds") == 1) & ~F.col("at.twice")
+    known = classes.join(keys, "key").filter(~alone).select("key", "body", "n", "kinds", "symbols", "at.twice", "at.rid", "at.lo", "at.hi")
+    known = saved(known, "classes")
+    asked = known.filter((F.col("kinds") > 1) | (F.col("n") == 1)).select("key", "n", "symbols", "rid", "lo", "hi")
+    copies = known.filter("n > 1").select("key", "body")
     whole = runs.join(copies, ["key", "body"], "left_semi").select("rid", "lo", "hi")
 
     want = F.struct("key", "n", "symbols", "lo", "hi")
-    bodies = asked.groupBy("rid").agg(F.collect_list(want).alias("wanted")).join(placed.select("rid", "text"), "rid")
+    bodies = asked.groupBy("rid").agg(F.collect_list(want).alias("wanted")).join(placed, "rid")  # with all its columns: the same exchange serves the last join
 
     def fetch(batches):
         for batch in batches:
@@ -249,7 +251,7 @@ def duplicate_ranges(placed: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     columns = [piece.field("key"), piece.field("n"), piece.field("symbols"), part.column("rid").take(pa.array(rows[x : x + 4096])), piece.field("lo"), _binary(data, a[x : x + 4096], b[x : x + 4096])]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "symbols", "rid", "lo", "data"])
 
-    fetched = bodies.select("rid", "wanted", "text").mapInArrow(fetch, BODIES)
+    fetched = bodies.mapInArrow(fetch, BODIES)
     hot = asked.filter(F.col("symbols") > MOST).limit(1).count() > 0
     if not hot:
         return whole.union(_expanded(fetched, length, kind))
@@ -330,9 +332,12 @@ def _by_digest(fetched: DataFrame, length: int, kind: type) -> DataFrame:
     return strings.filter("n = 1").join(many, ["a", "b"], "left_semi").select("rid", "lo", F.col("lo").alias("hi"))
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start and end of the bytes removed), kept (the bytes left, on end)."""
-    return _cut(_placed(docs), "doc_id", "long", length, gram, "byte")
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (array of start and end of the bytes removed), kept (the bytes left, on end).
+
+    passage: also passage_words, the words in strings of that many words that start anywhere else too, found the same way; they are not removed.
+    """
+    return _cut(_placed(docs), "doc_id", "long", length, gram, "byte", passage)
 
 
 def shortened(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM, unit: str = "word") -> DataFrame:
@@ -363,10 +368,30 @@ def _whole_characters(raw):
     return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\uFFFD", "")
 
 
-def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int, unit: str) -> DataFrame:
-    """carried, n_bytes, spans, kept."""
-    ranges = duplicate_ranges(placed, length, gram, unit).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    joined = placed.join(ranges, "rid", "left").select(carried, "text", "ranges")
+def _covered(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, count: int) -> np.ndarray:
+    """How much the ranges lo:hi of each row cover together."""
+    size = np.zeros(count, np.int64)
+    np.maximum.at(size, rows, hi)
+    off = np.append(0, np.cumsum(size))
+    edge = np.zeros(off[-1] + 1, np.int64)
+    np.add.at(edge, off[rows] + lo, 1)
+    np.add.at(edge, off[rows] + hi, -1)
+    return sum_by((np.cumsum(edge[:-1]) > 0).astype(np.int64), size)
+
+
+def _ranges_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, lo and hi of a column of lists of ranges, or of nulls."""
+    rows = np.repeat(np.arange(len(column)), np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    got = column.flatten()
+    return rows, got.field("lo").to_numpy(), got.field("hi").to_numpy()
+
+
+def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int, unit: str, passage: int | None = None) -> DataFrame:
+    """carried, n_bytes, spans, kept; with passage, passage_words."""
+    listed = lambda ranges, name: ranges.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
+    joined = placed.join(listed(duplicate_ranges(placed, length, gram, unit), "ranges"), "rid", "left")
+    if passage:
+        joined = joined.join(listed(duplicate_ranges(placed, passage, min(PASSAGE_GRAM, passage), "word"), "said"), "rid", "left")
 
     def places(texts: pa.Array, data: np.ndarray, off: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         if unit == "byte":
@@ -381,10 +406,8 @@ def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int, uni
             for part in slices(batch):
                 texts = part.column("text")
                 data, off = raw_bytes(texts)
-                given = part.column("ranges")
-                rows = np.repeat(np.arange(part.num_rows), np.nan_to_num(given.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                got = given.flatten()
-                lo, hi = places(texts, data, off, rows, got.field("lo").to_numpy(), got.field("hi").to_numpy())
+                rows, lo, hi = _ranges_in(part.column("ranges"))
+                lo, hi = places(texts, data, off, rows, lo, hi)
                 edge = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, hi, -1)
@@ -402,6 +425,11 @@ def _cut(placed: DataFrame, carried: str, kind: str, length: int, gram: int, uni
                 spans = pa.StructArray.from_arrays([pa.array(a - off[doc]), pa.array(b - off[doc])], names=["start", "end"])
                 left = np.append(0, np.cumsum(~gone))[off]
                 kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
-                yield pa.RecordBatch.from_arrays([part.column(carried), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), spans), kept.cast(pa.binary())], names=[carried, "n_bytes", "spans", "kept"])
-
-    return joined.mapInArrow(cut, f"{carried} {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+                out = {carried: part.column(carried), "n_bytes": pa.array(np.diff(off)), "spans": pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), spans), "kept": kept.cast(pa.binary())}
+                if passage:
+                    rows, lo, hi = _ranges_in(part.column("said"))
+                    out["passage_words"] = pa.array(_covered(rows, lo, hi + passage, part.num_rows))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    more = ", passage_words long" if passage else ""
+    return joined.mapInArrow(cut, f"{carried} {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{more}")

@@ -101,6 +101,9 @@ def test_passages_of_words_equal_to_brute_force(spark):
         want = passages(texts, length)
         assert got.columns == df.columns
         assert Counter((x.doc_id, x.text) for x in got.collect()) == Counter((i % 7 or None, t) for i, t in enumerate(want))
+        words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        both = suffix.deduplicate(df, 40, 8, passage=length)
+        assert Counter((x.n_bytes, x.passage_words) for x in both.collect()) == Counter((len((t or "").encode()), words(t) - words(w)) for t, w in zip(texts, want))
         changed = {w for t, w in zip(texts, want) if t != w}
         assert changed and all(x.n_chars == len(x.text) for x in got.collect() if x.text in changed and x.n_chars is not None)
     assert suffix.shortened(df.limit(0)).count() == 0
