@@ -16,8 +16,8 @@ one_of_each(): texts are near-duplicates at a Jaccard similarity of their shingl
 such texts differ in some 15 % of their bits, more than any one covering can meet, so fingerprints are longer (WIDE
 bits, each set by the same rule for hashes mixed from XXH64), and there are TABLES coverings, each on bits of its own: a
 Golay code [23, 12] beside Hamming codes [7, 4], perfect too, so that each fingerprint lies within the covering radius of
-exactly one anchor of each table. Fingerprints that meet at an anchor and differ in at most NEAR of their first 64 bits
-are candidates; every link is then verified on the whole sets of shingles. A pair at 0.8 shares no anchor with chance
+exactly one anchor of each table. Fingerprints that meet at an anchor and differ in at most NEAR of their first 128
+bits are candidates; every link is then verified on the whole sets of shingles. A pair at 0.8 shares no anchor with chance
 0.01, one at 0.85 with 0.002. Hamming codes are added, and tables with them, as the classes grow (see tables_for), so
 that the classes at an anchor stay few.
 
@@ -44,7 +44,7 @@ GOLAY = 0xC75  # Fixed value: generator polynomial of the binary Golay code [23,
 RADIUS = 3
 #: Shingles, similarity and fingerprints of near-duplicate texts.
 WORDS, SIMILARITY = 5, 0.8
-WIDE, TABLES, NEAR = 512, 96, 24
+WIDE, TABLES, NEAR = 512, 96, 34
 #: Rows of one anchor that later rows are compared with; beyond them only those that were like no row before them.
 MOST = 1 << 20
 
@@ -229,6 +229,11 @@ def shingle_sets(hashes: np.ndarray, runs: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(ends - runs, ends)]
 
 
+def apart(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows a and b; fp: two numbers of 64 bits a row."""
+    return np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int32)
+
+
 def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows in order of their key, the rows that are near an earlier row of their key, and the nearest such row before each."""
     here, there = [], []
@@ -236,7 +241,7 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(todo):
         todo = todo[todo >= back]
         todo = todo[key[todo] == key[todo - back]]
-        near = np.bitwise_count(fp[todo] ^ fp[todo - back]) <= NEAR
+        near = apart(fp, todo, todo - back) <= NEAR
         here.append(todo[near])
         there.append(todo[near] - back)
         todo, back = todo[~near], back + 1
@@ -244,7 +249,7 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """a, b, d: pairs of classes (cls, wide) that meet at an anchor and differ in d <= NEAR of 64 bits, enough of them to join all that do; b is the smaller."""
+    """a, b, d: pairs of classes (cls, wide) that meet at an anchor and differ in d <= NEAR of 128 bits, enough of them to join all that do; b is the smaller."""
     coverings = tables_for(classes.count())
 
     def spread(batches):
@@ -254,29 +259,30 @@ def candidates(classes: DataFrame) -> DataFrame:
                 part = batch.slice(k, 2048)
                 wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WIDE // 8)
                 keys = tables.keys(wide)
-                fp = wide[:, :8].copy().view(np.int64).ravel()
+                fp = wide[:, :16].copy().view(np.int64)
                 n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cls").to_numpy(), n)), pa.array(np.repeat(fp, n))], names=["key", "cls", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cls").to_numpy(), n)), pa.array(np.repeat(fp[:, 0], n)), pa.array(np.repeat(fp[:, 1], n))], names=["key", "cls", "fp", "fp2"])
 
     def meet(batches):
-        kept = [np.empty(0, np.int64)] * 3
+        kept = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("key", "cls", "fp")]
-            key, cls, fp = (np.concatenate(x) for x in zip(kept, new))
+            new = [batch.column(c).to_numpy() for c in ("key", "cls", "fp", "fp2")]
+            key, cls, *both = (np.concatenate(x) for x in zip(kept, new))
+            fp = np.column_stack(both).view(np.uint64)
             old = len(kept[0])
-            at, to = meetings(key, fp.view(np.uint64))
+            at, to = meetings(key, fp)
             fresh = at >= old
             x, y = cls[at[fresh]], cls[to[fresh]]
-            d = np.bitwise_count((fp[at[fresh]] ^ fp[to[fresh]]).view(np.uint64)).astype(np.int32)
+            d = apart(fp, at[fresh], to[fresh])
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(d)], names=["a", "b", "d"])
             last = key == key[-1] if len(key) else np.empty(0, bool)
             if last.sum() > MOST:
                 alone = np.ones(len(key), bool)
                 alone[at] = False
                 last &= alone
-            kept = [key[last], cls[last], fp[last]]
+            kept = [key[last], cls[last], *(f[last] for f in both)]
 
-    rows = classes.select("cls", "wide").mapInArrow(spread, "key long, cls long, fp long")
+    rows = classes.select("cls", "wide").mapInArrow(spread, "key long, cls long, fp long, fp2 long")
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
@@ -321,9 +327,9 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
     links = saved(verified(nearest, sets, similarity), "links")
     star = components(links)
     root = lambda c: star.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    apart = apart.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    more = saved(verified(apart, sets, similarity), "links")
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    more = saved(verified(rest, sets, similarity), "links")
     return components(links.union(more))
 
 

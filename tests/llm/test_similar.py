@@ -86,11 +86,11 @@ def test_meetings_link_rows_of_a_key_that_are_near():
     r = np.random.default_rng(1)
     key = np.sort(r.integers(0, 30, 400))
     centres = r.integers(0, 1 << 63, 4).astype(np.uint64)
-    fp = centres[r.integers(0, 4, 400)] ^ (np.uint64(1) << r.integers(0, 64, 400).astype(np.uint64))
+    fp = centres[r.integers(0, 4, 400)][:, None] ^ (np.uint64(1) << r.integers(0, 64, (400, 2)).astype(np.uint64))
     at, to = simhash.meetings(key, fp)
     got = dict(zip(at.tolist(), to.tolist()))
     for i in range(400):
-        near = [j for j in range(i) if key[j] == key[i] and bin(int(fp[i] ^ fp[j])).count("1") <= simhash.NEAR]
+        near = [j for j in range(i) if key[j] == key[i] and sum(bin(int(x)).count("1") for x in fp[i] ^ fp[j]) <= simhash.NEAR]
         assert got.get(i) == (near[-1] if near else None)
 
 
