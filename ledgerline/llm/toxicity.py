@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.storage import saved
-from ledgerline.llm.textarrays import id_text, map_slices, slices
+from ledgerline.llm.textarrays import id_text, map_slices, slice_bytes, slices
 
 #: Labelled rows the model is fitted on, chosen by a hash of their doc_id.
 EXAMPLES = 16_384
@@ -79,7 +79,7 @@ def _exploded(df: DataFrame, vocabulary: pa.Array | None, keep: list[str], schem
 
         return work
 
-    return map_slices(df, make, schema)
+    return map_slices(df, make, schema, parts=4)
 
 
 class Index:
@@ -241,7 +241,7 @@ def _document_frequencies(docs: DataFrame, terms: pa.Array) -> DataFrame:
 
         return work
 
-    return map_slices(id_text(docs), make, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return map_slices(id_text(docs), make, "term int, df long", parts=4).groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
@@ -255,18 +255,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "to
 
         return work
 
-    return map_slices(id_text(docs), make, "doc_id long, score double, predicted int, evidence array<long>, evidence_terms array<string>")
+    return map_slices(id_text(docs), make, "doc_id long, score double, predicted int, evidence array<long>, evidence_terms array<string>", parts=4)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> DataFrame:
     """docs without the rows predicted toxic, in one narrow pass."""
     model = fit(docs, labels, label, learn)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots and the like
-    text = f"c{docs.columns.index('text')}"
+    text, most = f"c{docs.columns.index('text')}", max(1, slice_bytes() // 4)
 
     def keep(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 yield part.filter(pa.array(model.score(part.column(text))[0] < 0.5))
 
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
