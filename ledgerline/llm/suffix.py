@@ -124,11 +124,11 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int, gram: int, roller: R
     return d, key[lo].view(np.int64), body.view(np.int64), first - off[d], last - off[d], twice
 
 
-def _order(key: np.ndarray, most: int) -> np.ndarray:
-    """Places of key in rising order, ties in any; most: the largest key. Sorting numbers that carry their place beats argsort by far where they fit."""
+def _order(key: np.ndarray, most: int, stable: bool = False) -> np.ndarray:
+    """Places of key in rising order, ties in any or in theirs; most: the largest key. Sorting numbers that carry their place beats argsort by far where they fit."""
     bits = len(key).bit_length()
-    if most.bit_length() + bits > 63:
-        return np.argsort(key)
+    if int(most).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable" if stable else None)
     packed = key << bits | np.arange(len(key))
     packed.sort()
     return packed & ((1 << bits) - 1)
@@ -162,24 +162,28 @@ def common_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     """text ends with a least symbol. Suffix order, and for each place in it the common prefix with the one before, or -1 if it is at least `length`."""
     n = len(text)
     order = suffix_order(text, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     before = text[order - 1]  # the Burrows-Wheeler transform; the text counts as a ring with one end mark
-    back = place[order - 1]
+    kinds = int(text.max()) + 1
+    back = np.empty(n, np.int64)  # equal symbols keep their order, so an interval's part with one symbol is an interval again, whatever the order of ties
+    back[_order(before, kinds - 1, stable=True)] = np.arange(n)
+    change = np.append(np.flatnonzero(before[1:] != before[:-1]), n - 1)
+    alike = np.repeat(change, np.diff(np.append(-1, change)))  # where the run of one symbol ends
     prefix = np.full(n + 1, -1, np.int32)
     prefix[0] = prefix[n] = 0
     lb, rb = np.array([0]), np.array([n - 1])
     for known in range(length):
         if not len(lb):
             break
+        one = alike[lb] >= rb
+        whole, size = back[lb[one]], (rb - lb)[one]
+        lb, rb = lb[~one], rb[~one]
         members = ragged(lb, rb - lb + 1)
-        owner = np.repeat(np.arange(len(lb)), rb - lb + 1)
-        to = back[members]
-        by = _order(to, n)
-        to, owner, symbol = to[by], owner[by], before[members[by]]
-        new = np.append(True, (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1]) | (to[1:] != to[:-1] + 1))
-        first = np.flatnonzero(new)
-        lb, rb = to[first], to[np.append(first[1:], len(to)) - 1]
+        key = np.repeat(np.arange(len(lb)), rb - lb + 1) * kinds + before[members]
+        by = _order(key, len(lb) * kinds, stable=True)
+        key = key[by]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else by
+        part = back[members[by[first]]]
+        lb, rb = np.concatenate([whole, part]), np.concatenate([whole + size, part + np.diff(np.append(first, len(key))) - 1])
         fresh = prefix[rb + 1] < 0
         prefix[rb[fresh] + 1] = known
         lb, rb = lb[fresh], rb[fresh]

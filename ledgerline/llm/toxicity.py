@@ -8,7 +8,7 @@ search stops when no block left can beat the k-th best cosine, so the neighbours
 vote with their cosines; votes are made into probabilities by isotonic regression over the examples' own
 leave-one-out votes. A text without any such term gets the toxic share of the examples without any.
 
-Everything learned is bounded by EXAMPLES and TERMS, whatever the tables' size; one shuffle of the
+Everything learned is bounded by the words of EXAMPLES texts, whatever the tables' size; one shuffle of the
 sample's terms, one pass for document frequencies, one narrow pass that scores every whole text.
 
 Nulls: a null or empty text has no terms; null ids or labels are not learned from; of several labels of one
@@ -29,7 +29,6 @@ from ledgerline.llm.textarrays import id_text, map_slices, slice_bytes, slices
 
 #: Labelled rows the model is fitted on, chosen by a hash of their doc_id.
 EXAMPLES = 16_384
-TERMS = 4_096
 #: A term must be in that many examples, and pass that chi-square.
 LEAST_DF, LEAST_CHI2 = 3, 15.0
 #: An example is explained once it holds that many chosen terms.
@@ -212,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, examples:
         a, b, pos, neg = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double"), float(positive), float(n - positive)
         chi2 = float(n) * F.pow(a * (neg - b) - b * (pos - a), F.lit(2)) / (pos * neg * (a + b) * (F.lit(float(n)) - a - b))
         chosen = seen.filter((F.col("n") >= LEAST_DF) & (F.col("n") < n) & (a * neg > 3 * b * pos)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-        vocabulary = [r.term for r in chosen.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()]
+        vocabulary = [r.term for r in chosen.orderBy(F.desc("chi2"), "term").collect()]  # terms of bounded examples
     held = np.zeros((0, 3), np.int64)
     if vocabulary:
         place = {d: i for i, d in enumerate(facts["doc_id"])}
@@ -224,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, examples:
         vocabulary = [vocabulary[k] for k in keep]
     idf = np.zeros(len(vocabulary))
     if vocabulary:
-        df = dict(map(tuple, _document_frequencies(docs, pa.array(vocabulary, pa.large_string())).collect()))  # at most TERMS + 1 rows
+        df = dict(map(tuple, _document_frequencies(docs, pa.array(vocabulary, pa.large_string())).collect()))  # a row for each term, and one
         total = df.pop(-1, 0)
         idf = np.log((1 + total) / (1 + np.array([df.get(i, 0) for i in range(len(vocabulary))]))) + 1e-6
     return Model(vocabulary, idf, facts["doc_id"].to_numpy(np.int64), facts["y"].to_numpy(np.int64), held[:, 0], held[:, 1], held[:, 2])
