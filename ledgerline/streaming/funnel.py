@@ -41,3 +41,22 @@ def run_once(stream: DataFrame, name: str) -> DataFrame:
     out = fresh(stream.sparkSession, name)
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def live(stream: DataFrame, folder: str, seconds: float = 5.0):
+    """A running query that appends a stream to a table every so many seconds; folder/state keeps its place, so another start goes on there."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
+def run_for(stream: DataFrame, folder: str, seconds: float) -> bool:
+    """Takes what a stream holds, for so long at most: True where it came to the end, False where time ran out and the rest is left to the next run. Either way
+    the run is logged as a row (expired) in folder/runs."""
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    query = writer.trigger(availableNow=True).start()
+    try:
+        ended = bool(query.awaitTermination(seconds))
+    finally:
+        query.stop()
+    stream.sparkSession.createDataFrame([(not ended,)], "expired boolean").coalesce(1).write.mode("append").parquet(f"{folder}/runs")
+    return ended
