@@ -29,6 +29,7 @@ id. An empty table gives no rows; other columns are not read, and one_of_each()
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -334,7 +335,8 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component of similar texts: that of the smallest doc_id, of those the first; null ids come last."""
+    """docs with one row of each component of similar texts: that of the smallest doc_id, of those the one whose text has the least checksum (a null
+    text before all), and of equal texts one of them, the first where they are in one file; null ids come last."""
     placed = numbered(docs, "documents")
 
     def make():
@@ -344,13 +346,14 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
             hashes = xxh64(f.buf, start, size)
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in shingle_sets(hashes, runs)]
             wide = [x.tobytes() for x in wide_fingerprints(hashes, runs)]
-            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(wide, pa.binary())], names=["rid", "doc_id", "digest", "wide"])
+            mark = [0 if t is None else zlib.crc32(t.encode()) + 1 for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(mark, pa.int64()), pa.array(digest, pa.binary()), pa.array(wide, pa.binary())], names=["rid", "doc_id", "mark", "digest", "wide"])
 
         return work
 
     read = placed.select(F.col(RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = map_slices(read, make, "rid long, doc_id long, digest binary, wide binary", parts=4)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    marked = map_slices(read, make, "rid long, doc_id long, mark long, digest binary, wide binary", parts=4)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rid")).alias("first")
     classes = saved(marked.groupBy("digest").agg(F.min("rid").alias("cls"), F.min_by("wide", "rid").alias("wide"), first), "classes")
     star = similar(classes, read.select(F.col("rid").alias("cls"), "text"), words, similarity)
     rooted = classes.select("cls", "first").join(star.withColumnRenamed("node", "cls"), "cls", "left")
