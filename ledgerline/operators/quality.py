@@ -107,10 +107,12 @@ def header_differences(found: DataFrame, expected: DataFrame, column: str = "col
     return b.join(a, column, "left_anti").withColumn("side", F.lit("missing")).union(a.join(b, column, "left_anti").withColumn("side", F.lit("unexpected")))
 
 
-def required(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """expected with status: FAIL where it is not found."""
-    there = found.select(F.col(key).alias("__k")).distinct()
-    return expected.join(there, F.col(key) == F.col("__k"), "left").withColumn("status", F.when(F.col("__k").isNull(), "FAIL").otherwise("OK")).drop("__k")
+def required(expected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """expected with status: FAIL where no row of found has the same keys. Null keys are equal to each other."""
+    there = found.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct().withColumn("__there", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    status = F.when(F.col("__there"), "OK").otherwise("FAIL").alias("status")
+    return expected.join(there, same, "left").select(*(expected[c] for c in expected.columns), status)
 
 
 def milestones(plan: Column, state: Column) -> dict[str, Column]:

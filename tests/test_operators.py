@@ -187,3 +187,12 @@ def test_files(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.text for r in files.read_docx(spark, str(tmp_path)).collect()} == {"d.docx": "One & two\nthree", "bad.docx": None}
     assert files.csv_rows(spark, "a,b\n1\n2,3,4").collect() == [("1", None), ("2", "3")]
     assert {r.name for r in files.file_index(spark, str(tmp_path)).collect()} >= {"a.csv", "d.docx"}
+
+
+def test_required_files_tells_pages_of_one_url_apart(spark, tmp_path):
+    from ledgerline.plans import registry
+
+    pages = [(10, "u"), (11, "u"), (12, "v"), (20, "w"), (None, "x"), (13, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, registry.QUERIES["required_files"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([("u", "FAIL"), ("u", "OK"), ("v", "OK"), ("w", "FAIL"), ("x", "OK"), (None, "OK"), ("README.md", "FAIL")], key=repr)
