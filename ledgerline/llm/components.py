@@ -20,9 +20,9 @@ def _hang(pairs: DataFrame) -> DataFrame:
 def _round(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = _hang(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    large = _hang(both.filter("v > u").hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
     root = large.groupBy("u").agg(F.min("v").alias("m"))
-    return _hang(large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(root.select("u", F.col("m").alias("v"))))
+    return _hang(large.hint("merge").join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(root.select("u", F.col("m").alias("v"))))
 
 
 def components(links: DataFrame) -> DataFrame:

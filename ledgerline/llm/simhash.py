@@ -21,6 +21,9 @@ bits are candidates; every link is then verified on the whole sets of shingles.
 0.01, one at 0.85 with 0.002. Hamming codes are added, and tables with them, as the classes grow (see tables_for), so
 that the classes at an anchor stay few.
 
+No table of these is sent to all executors: Spark takes what comes out of Python to be as large as what went in, and so
+would gather the replicas of all classes on the driver. Every join here has a hint for sorting instead.
+
 Texts without words (null, empty, blank) have fingerprint zero and link like any other. Repeated rows are rows
 of one class. Null doc_ids keep their row and never name a component; a component of null ids alone has a null
 id. An empty table gives no rows; other columns are not read, and one_of_each() keeps them whatever their names.
@@ -162,7 +165,7 @@ def links(classes: DataFrame, t: int = 2) -> DataFrame:
 
     fps = classes.select("fp")
     home, spread = fps.mapInArrow(at_home, "anchor int, a long"), fps.mapInArrow(everywhere, "anchor int, b long")
-    return home.join(spread, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)).select("a", "b")
+    return home.hint("merge").join(spread, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
@@ -170,9 +173,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, t: int = 2) -> DataFrame:
     marked = saved(fingerprints(docs, words), "fingerprints")
     classes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     star = components(links(classes, t))
-    rooted = classes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.hint("merge").join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp", "left")
+    return marked.hint("merge").join(rooted.hint("merge").join(least, "root").select("fp", "component_id"), "fp", "left")
 
 
 def tables_for(classes: int) -> tuple[int, int]:
@@ -302,8 +305,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    one = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    return one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    one = pairs.select("a", "b").hint("merge").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
+    return one.hint("merge").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
 def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -323,12 +326,12 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
         return work
 
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = saved(map_slices(texts.join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
+    sets = saved(map_slices(texts.hint("merge").join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     links = saved(verified(nearest, sets, similarity), "links")
     star = components(links)
     root = lambda c: star.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = pairs.hint("merge").join(nearest, ["a", "b"], "left_anti").hint("merge").join(root("a"), "a", "left").hint("merge").join(root("b"), "b", "left")
     rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = saved(verified(rest, sets, similarity), "links")
     return components(links.union(more))
@@ -356,9 +359,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "rid")).alias("first")
     classes = saved(marked.groupBy("digest").agg(F.min("rid").alias("cls"), F.min_by("wide", "rid").alias("wide"), first), "classes")
     star = similar(classes, read.select(F.col("rid").alias("cls"), "text"), words, similarity)
-    rooted = classes.select("cls", "first").join(star.withColumnRenamed("node", "cls"), "cls", "left")
+    rooted = classes.select("cls", "first").hint("merge").join(star.withColumnRenamed("node", "cls"), "cls", "left")
     stay = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.rid").alias(RID))
-    return placed.join(stay, RID, "left_semi").select(*(placed[f"`{c}`"] for c in docs.columns))
+    return placed.hint("merge").join(stay, RID, "left_semi").select(*(placed[f"`{c}`"] for c in docs.columns))
 
 
 def hex_fingerprint(fp: str = "fp"):

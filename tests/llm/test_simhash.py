@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
 from ledgerline.llm.components import components
@@ -75,3 +76,16 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 160)} | {201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_table_is_gathered_on_the_driver(spark):
+    """Out of one fingerprint come 61 replicas, which Spark does not know; link tables compress to next to nothing."""
+    from ledgerline.llm import components as c
+    from ledgerline.llm.storage import saved
+
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB")
+    classes = saved(spark.range(1000).select((F.xxhash64("id")).alias("fp")), "classes")
+    pairs = saved(spark.range(1000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v")), "links")
+    for df in (simhash.links(classes), c._round(pairs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
