@@ -18,7 +18,8 @@ bits, each set by the same rule for hashes mixed from XXH64), and there are TABL
 Golay code [23, 12] beside Hamming codes [7, 4], perfect too, so that each fingerprint lies within the covering radius of
 exactly one anchor of each table. Fingerprints that meet at an anchor and differ in at most NEAR of their first 128
 bits are candidates; every link is then verified on the whole sets of shingles. A pair at 0.8 shares no anchor with chance
-0.01, one at 0.85 with 0.002. Hamming codes are added, and tables with them, as the classes grow (see tables_for), so
+0.01, one at 0.85 with 0.002, and of several rows at an anchor each meets the nearest before it alone; so what the fingerprints leave
+in different components is then joined exactly (remaining()): no link is lost, whatever the data. Hamming codes are added, and tables with them, as the classes grow (see tables_for), so
 that the classes at an anchor stay few.
 
 No table of these is sent to all executors: Spark takes what comes out of Python to be as large as what went in, and so
@@ -51,6 +52,8 @@ WORDS, SIMILARITY = 5, 0.8
 WIDE, TABLES, NEAR = 512, 96, 34
 #: Rows of one anchor that later rows are compared with; beyond them only those that were like no row before them.
 MOST = 1 << 20
+#: Texts, about, whose shingles tell which are common, and how many of these are told apart.
+SAMPLE, COMMON = 1 << 14, 1 << 17
 
 
 def majority(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -309,10 +312,119 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return one.hint("merge").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
+def prefixes(hashes: np.ndarray, runs: np.ndarray, common: np.ndarray, seen: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of each group of consecutive hashes, taken as a set, the first in order of (times seen, hash): as many as hold one of every
+    set that is so similar. The hashes, their groups, sizes of these sets and places there. common: sorted, with times seen; others 0."""
+    group = np.repeat(np.arange(len(runs)), runs)
+    order = np.lexsort((hashes, group))
+    h, group = hashes[order], group[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (group[1:] != group[:-1])
+    h, group = h[new], group[new]
+    times = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        times = np.where(common[at] == h, seen[at], 0)
+    h = h[np.lexsort((times, group))]
+    n = np.bincount(group, minlength=len(runs))
+    place = np.arange(len(h)) - (np.cumsum(n) - n)[group]
+    keep = place <= (n - np.ceil(similarity * n - 1e-6))[group]
+    return h[keep], group[keep], n[group[keep]], place[keep]
+
+
+def across(key: np.ndarray, root: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float, most: int = 1 << 18):
+    """For rows in order of key and root: pairs of classes of one key and different roots whose sizes and places leave room for the similarity, about so many looked at at once."""
+    end = np.searchsorted(key, key, "right")
+    edge = np.flatnonzero(np.append((key[1:] != key[:-1]) | (root[1:] != root[:-1]), True)) + 1
+    start = edge[np.searchsorted(edge, np.arange(len(key)), "right")]
+    count = end - start
+    some = np.flatnonzero(count)
+    chunk = np.cumsum(count[some]) // most
+    for rows in np.split(some, np.flatnonzero(np.diff(chunk)) + 1):
+        i, j = np.repeat(rows, count[rows]), ragged(start[rows], count[rows])
+        need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+        fits = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+        x, y = cls[i[fits]], cls[j[fits]]
+        yield np.unique(np.column_stack([np.maximum(x, y), np.minimum(x, y)]), axis=0)
+
+
+def whole_keys(batches, columns: tuple[str, ...]):
+    """Columns of Arrow batches in order of the first of them, in pieces that hold all rows of their keys."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in columns]
+        if not len(new[0]):
+            continue
+        cut = int(np.searchsorted(new[0], new[0][-1]))
+        if held and (cut or held[-1][0][-1] != new[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in new])]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in new]
+        held.append([c[cut:] for c in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def remaining(texts: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: pairs of classes with different roots, among them all that are so similar; b is the smaller. texts: cls, text, also of rows that are no class; roots: cls, root.
+
+    Two similar sets share one of their first hashes, in whatever order all sets are taken. Hashes that are in several of SAMPLE texts come last:
+    so few sets meet at one hash. That order alone depends on the sample, not what is found.
+    """
+    names = ("key", "cls", "n", "place")
+
+    def hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        f = fold(part.column("text"))
+        start, size, runs = word_runs(f, words)
+        return xxh64(f.buf, start, size), runs
+
+    def make_counts():
+        def work(part: pa.RecordBatch):
+            sets = shingle_sets(*hashes(part))
+            h, c = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+        return work
+
+    every = max(1, roots.count() // SAMPLE)
+    counted = map_slices(texts.filter(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0), make_counts, "h long, c long", parts=4)
+    often = counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    common, seen = often.column("h").to_numpy().view(np.uint64), often.column("c").to_numpy()
+    order = np.argsort(common)
+    common, seen = common[order], seen[order]
+
+    def make():
+        def work(part: pa.RecordBatch):
+            h, group, n, place = prefixes(*hashes(part), common, seen, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(24)).astype(np.int64)), part.column("cls").take(pa.array(group)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=list(names))
+
+        return work
+
+    def shared(batches):
+        for piece in whole_keys(batches, names):
+            key = piece[0]
+            several = np.zeros(len(key), bool)
+            several[1:] = key[1:] == key[:-1]
+            several[:-1] |= several[1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in piece], names=list(names))
+
+    def meet(batches):
+        for key, root, *rest in whole_keys(batches, ("key", "root", "cls", "n", "place")):
+            for pairs in across(key, root, *rest, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    shape = "key long, cls long, n int, place int"
+    first = map_slices(texts, make, shape, parts=4).repartition("key").sortWithinPartitions("key").mapInArrow(shared, shape)
+    rooted = first.hint("merge").join(roots, "cls").select("key", "root", "cls", "n", "place")
+    return rooted.repartition("key").sortWithinPartitions("key", "root").mapInArrow(meet, "a long, b long").distinct()
+
+
 def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """node, root of all classes that links join. classes: cls, wide; texts: cls, text.
 
-    First each class is verified with the nearest it met; then, of the pairs that these links leave in different components, every one.
+    First each class is verified with the nearest it met; then, of the pairs that these links leave in different components, every one; then
+    every other pair across components that can be so similar, whether its fingerprints met or not.
     """
     pairs = saved(candidates(classes), "candidates")
 
@@ -325,8 +437,11 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
 
         return work
 
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = saved(map_slices(texts.hint("merge").join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        return saved(map_slices(texts.hint("merge").join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
+
+    sets = sets_of(pairs)
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
     links = saved(verified(nearest, sets, similarity), "links")
     star = components(links)
@@ -334,7 +449,11 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
     rest = pairs.hint("merge").join(nearest, ["a", "b"], "left_anti").hint("merge").join(root("a"), "a", "left").hint("merge").join(root("b"), "b", "left")
     rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
     more = saved(verified(rest, sets, similarity), "links")
-    return components(links.union(more))
+    star = components(links.union(more))
+    roots = saved(classes.select("cls").hint("merge").join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "roots")
+    left = saved(remaining(texts, roots, words, similarity), "remaining")
+    last = saved(verified(left, sets_of(left), similarity), "links")
+    return star if last.isEmpty() else components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -125,3 +125,36 @@ def test_null_and_repeated_ids_keep_one_row_of_each(spark):
     df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
     got = {r.n for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert got == {4, 2, 6, 7} == set(brute(rows))
+
+
+def test_no_link_depends_on_the_fingerprints(spark, monkeypatch):
+    """Pairs at the threshold, as near ones that unlike rows hide; then nothing that fingerprints find."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    line = [r.choice(words) for _ in range(12)]
+    rows = []
+    for d in range(700):
+        n = r.choice([8, 17, 26, 35])  # shingles in both; a ninth of them are others, at the end
+        text = (line if d % 3 == 0 else []) + [r.choice(words) for _ in range(n + 5)]
+        n = len(text) - 4
+        near = list(text)
+        near[len(text) - n // 9 :] = [r.choice(words) for _ in range(n // 9)]
+        rows += [(2 * d, " ".join(text)), (2 * d + 1, " ".join(near))]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    want = brute(rows)
+    assert len(want) < 800
+    assert sorted(x.n for x in simhash.one_of_each(df).collect()) == want
+    monkeypatch.setattr(simhash, "candidates", lambda classes: spark.createDataFrame([], "a long, b long, d int"))
+    monkeypatch.setattr(simhash, "SAMPLE", 100)
+    assert sorted(x.n for x in simhash.one_of_each(df).collect()) == want
+
+
+def test_pairs_across_roots_are_all_looked_at():
+    r = np.random.default_rng(3)
+    key = np.sort(r.integers(0, 20, 300))
+    root = r.integers(0, 4, 300)
+    order = np.lexsort((root, key))
+    root, cls, n, place = root[order], r.permutation(300), r.integers(20, 26, 300), r.integers(0, 4, 300)
+    got = {tuple(p) for pairs in simhash.across(key, root, cls, n, place, 0.8, most=50) for p in pairs.tolist()}
+    fits = lambda i, j: min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and min(n[i] - place[i], n[j] - place[j]) * 1.8 >= 0.8 * (n[i] + n[j]) - 1e-9
+    assert got == {(max(cls[i], cls[j]), min(cls[i], cls[j])) for i in range(300) for j in range(i) if key[i] == key[j] and root[i] != root[j] and fits(i, j)}
