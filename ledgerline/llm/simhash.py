@@ -92,22 +92,24 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 class Anchors:
-    """For a 23-bit word: its home, and the code words up to t bits beyond the covering radius, by excess."""
+    """For a 23-bit word: its home, and the code words up to t bits beyond the covering radius, by excess.
+
+    No table has an entry for each of the 2**23 words: every task makes its own, in two workers of an executor at once.
+    """
 
     def __init__(self, t: int):
         info = np.arange(1 << 12, dtype=np.int64)
-        words = np.arange(1 << BITS, dtype=np.int64)
-        self.syndrome = self._mod(words).astype(np.int16)  # 11 bits
-        code = info << 11
-        code ^= self._mod(code)
+        self.high = self._mod(info << 11)  # 11 bits
+        code = info << 11 ^ self.high
+        one = np.append(0, 1 << np.arange(BITS, dtype=np.int64))
+        near = np.unique(one[:, None, None] | one[None, :, None] | one)  # of up to RADIUS bits
         leader = np.zeros(1 << 11, np.int64)
-        near = words[np.bitwise_count(words) <= RADIUS]
-        leader[self.syndrome[near]] = near
+        leader[self.syndrome(near)] = near
         self.leader = leader
         self.lists = []
-        excess = np.maximum(np.bitwise_count(code[None, :] ^ leader[:, None]).astype(np.int16) - RADIUS, 0)
+        far = np.concatenate([np.bitwise_count(code ^ leader[k : k + 64, None]) for k in range(0, 1 << 11, 64)])
         for e in range(t + 1):
-            at, word = np.nonzero(excess == e)
+            at, word = np.nonzero(far == RADIUS + e if e else far <= RADIUS)
             count = np.bincount(at, minlength=1 << 11)
             self.lists.append((np.cumsum(count) - count, count, info[word]))
 
@@ -118,8 +120,12 @@ class Anchors:
             x ^= np.where((x >> b) & 1, GOLAY << (b - 11), 0)
         return x
 
+    def syndrome(self, w: np.ndarray) -> np.ndarray:
+        """The remainder of w: that of its upper 12 bits and the lower 11, which are their own."""
+        return self.high[w >> 11] ^ (w & (1 << 11) - 1)
+
     def home(self, w: np.ndarray) -> np.ndarray:
-        return (w ^ self.leader[self.syndrome[w]]) >> 11
+        return (w ^ self.leader[self.syndrome(w)]) >> 11
 
 
 def _halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +142,7 @@ def homes(fp: np.ndarray, a: Anchors) -> np.ndarray:
 def replicas(fp: np.ndarray, a: Anchors, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of fp and anchor of each replica."""
     x, y = _halves(fp)
-    hx, hy, sx, sy = a.home(x), a.home(y), a.syndrome[x], a.syndrome[y]
+    hx, hy, sx, sy = a.home(x), a.home(y), a.syndrome(x), a.syndrome(y)
     rows, keys = [], []
     for ex in range(t + 1):
         for ey in range(t + 1 - ex):

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -47,6 +48,20 @@ def test_covering_loses_no_link():
     assert len(held) == len(row)
 
 
+def test_anchors_take_little_memory():
+    """Each task makes them beside another one, on an executor whose heap leaves little room."""
+    tracemalloc.start()
+    try:
+        anchors = simhash.Anchors(2)
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+    words = np.random.default_rng(3).integers(0, 1 << simhash.BITS, 100_000)
+    home = anchors.home(words)
+    code = home << 11 ^ simhash.Anchors._mod(home << 11)
+    assert np.bitwise_count(words ^ code).max() <= simhash.RADIUS and (anchors.syndrome(words) == simhash.Anchors._mod(words)).all()
+
+
 def test_near_duplicates_equal_brute_force(spark):
     import duckdb
 
