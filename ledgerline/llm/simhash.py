@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.storage import RID, numbered, saved
+from ledgerline.llm.storage import RID, Passing, numbered, saved, tidy
 from ledgerline.llm.textarrays import P1, P2, fold, id_text, map_slices, ragged, word_runs, xxh64
 
 BITS = 23
@@ -50,6 +51,8 @@ RADIUS = 3
 #: Shingles, similarity and fingerprints of near-duplicate texts.
 WORDS, SIMILARITY = 5, 0.8
 WIDE, TABLES, NEAR = 512, 96, 34
+#: Tables at whose anchors classes meet first, and how many of the others are spread at once.
+FEW, AT_ONCE = 12, 24
 #: Rows of one anchor that later rows are compared with; beyond them only those that were like no row before them.
 MOST = 1 << 20
 #: Texts, about, whose shingles tell which are common, and how many of these are told apart.
@@ -203,23 +206,24 @@ def hamming_home(w: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """Coverings of WIDE-bit fingerprints, each on bits of its own."""
+    """Coverings of WIDE-bit fingerprints, each on bits of its own; of these the chosen ones."""
 
-    def __init__(self, codes: int, tables: int):
+    def __init__(self, codes: int, tables: int, chosen: range | None = None):
         rng = np.random.default_rng(7)
-        self.bits = [rng.choice(WIDE, BITS + 7 * codes, replace=False) for _ in range(tables)]
+        bits = [rng.choice(WIDE, BITS + 7 * codes, replace=False) for _ in range(tables)]
+        self.bits = [(t, bits[t]) for t in chosen or range(tables)]
         self.golay = Anchors(0)
 
     def keys(self, wide: np.ndarray) -> np.ndarray:
         """wide: a row of WIDE // 8 bytes for each fingerprint. Its anchor in every table, the table's number on top."""
         bit = np.unpackbits(wide, axis=1, bitorder="little")
         out = np.empty((len(wide), len(self.bits)), np.int64)
-        for t, chosen in enumerate(self.bits):
+        for i, (t, chosen) in enumerate(self.bits):
             word = lambda a, b: bit[:, chosen[a:b]].astype(np.int64) @ (1 << np.arange(b - a))  # noqa: E731, B023
             key = np.int64(t) << 12 | self.golay.home(word(0, BITS))
             for at in range(BITS, len(chosen), 7):
                 key = key << 4 | hamming_home(word(at, at + 7))
-            out[:, t] = key
+            out[:, i] = key
         return out
 
 
@@ -261,25 +265,26 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(here), np.concatenate(there)) if here else (np.empty(0, np.int64),) * 2
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b, d: pairs of classes (cls, wide) that meet at an anchor and differ in d <= NEAR of 128 bits, enough of them to join all that do; b is the smaller."""
-    coverings = tables_for(classes.count())
+def candidates(classes: DataFrame, chosen: range = range(FEW), coverings: tuple[int, int] | None = None) -> DataFrame:
+    """a, b, d: pairs of classes (cls, wide) that meet at an anchor of the chosen tables and differ in d <= NEAR of 128 bits, enough of them to join all that do; b is the smaller."""
+    coverings = coverings or tables_for(classes.count())
+    names = ("key", "cls", "fp", "fp2")
 
     def spread(batches):
-        tables = Tables(*coverings)
+        tables = Tables(*coverings, chosen)
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
                 wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WIDE // 8)
                 keys = tables.keys(wide)
                 fp = wide[:, :16].copy().view(np.int64)
-                n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("cls").to_numpy(), n)), pa.array(np.repeat(fp[:, 0], n)), pa.array(np.repeat(fp[:, 1], n))], names=["key", "cls", "fp", "fp2"])
+                each = (part.column("cls").to_numpy(), fp[:, 0], fp[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, keys.shape[1])) for x in each)], names=list(names))
 
     def meet(batches):
-        kept = [np.empty(0, np.int64)] * 4
+        kept = [np.empty(0, np.int64)] * len(names)
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("key", "cls", "fp", "fp2")]
+            new = [batch.column(c).to_numpy() for c in names]
             key, cls, *both = (np.concatenate(x) for x in zip(kept, new))
             fp = np.column_stack(both).view(np.uint64)
             old = len(kept[0])
@@ -293,7 +298,7 @@ def candidates(classes: DataFrame) -> DataFrame:
                 alone = np.ones(len(key), bool)
                 alone[at] = False
                 last &= alone
-            kept = [key[last], cls[last], *(f[last] for f in both)]
+            kept = [c[last] for c in (key, cls, *both)]
 
     rows = classes.select("cls", "wide").mapInArrow(spread, "key long, cls long, fp long, fp2 long")
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
@@ -395,7 +400,8 @@ def remaining(texts: DataFrame, roots: DataFrame, words: int, similarity: float)
 
     every = max(1, roots.count() // SAMPLE)
     counted = map_slices(texts.filter(F.pmod(F.xxhash64("cls"), F.lit(every)) == 0), make_counts, "h long, c long", parts=4)
-    often = counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    with tidy(texts.sparkSession):
+        often = counted.groupBy("h").agg(F.sum("c").alias("c")).filter("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
     common, seen = often.column("h").to_numpy().view(np.uint64), often.column("c").to_numpy()
     order = np.argsort(common)
     common, seen = common[order], seen[order]
@@ -429,10 +435,12 @@ def remaining(texts: DataFrame, roots: DataFrame, words: int, similarity: float)
 def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """node, root of all classes that links join. classes: cls, wide; texts: cls, text.
 
-    First each class is verified with the nearest it met; then, of the pairs that these links leave in different components, every one; then
-    every other pair across components that can be so similar, whether its fingerprints met or not.
+    First each class is verified with the nearest it met at anchors of FEW tables; then, of the pairs that these links leave in different components, every one;
+    then those that meet in the other tables; then
+    every other pair across components that can be so similar, whether its fingerprints met or not. Where the first tables find nothing, that
+    comes at once.
     """
-    pairs = saved(candidates(classes), "candidates")
+    passing, linked = Passing(classes.sparkSession), Passing(classes.sparkSession)
 
     def make():
         def work(part: pa.RecordBatch):
@@ -445,21 +453,38 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        return saved(map_slices(texts.hint("merge").join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
+        return passing.saved(map_slices(texts.hint("merge").join(asked, "cls"), make, "cls long, set array<long>", parts=4), "sets")
 
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return linked.saved(verified(pairs, sets, similarity), "links")
+
+    def rooted(columns: list[str], star: DataFrame) -> DataFrame:
+        named = star.withColumnRenamed("node", "cls")
+        return passing.saved(classes.select(columns).hint("merge").join(named, "cls", "left").select(*columns, F.coalesce("root", "cls").alias("root")), "roots")
+
+    pairs = passing.saved(candidates(classes), "candidates")
     sets = sets_of(pairs)
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
-    links = saved(verified(nearest, sets, similarity), "links")
+    links = alike(nearest, sets)
     star = components(links)
-    root = lambda c: star.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = pairs.hint("merge").join(nearest, ["a", "b"], "left_anti").hint("merge").join(root("a"), "a", "left").hint("merge").join(root("b"), "b", "left")
-    rest = rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
-    more = saved(verified(rest, sets, similarity), "links")
-    star = components(links.union(more))
-    roots = saved(classes.select("cls").hint("merge").join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")), "roots")
-    left = saved(remaining(texts, roots, words, similarity), "remaining")
-    last = saved(verified(left, sets_of(left), similarity), "links")
-    return star if last.isEmpty() else components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+    if not pairs.isEmpty():
+        root = lambda c: star.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        rest = pairs.hint("merge").join(nearest, ["a", "b"], "left_anti").hint("merge").join(root("a"), "a", "left").hint("merge").join(root("b"), "b", "left")
+        links = links.union(alike(rest.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")), sets))
+        star = components(links)
+        passing.drop()
+        coverings = tables_for(classes.count())
+        met = [passing.saved(candidates(classes, range(k, min(k + AT_ONCE, coverings[1])), coverings), "candidates") for k in range(FEW, coverings[1], AT_ONCE)]
+        pairs = passing.saved(reduce(DataFrame.union, met).select("a", "b").distinct(), "candidates")
+        star = components(links.union(alike(pairs, sets_of(pairs))))
+    passing.drop()
+    left = passing.saved(remaining(texts, rooted(["cls"], star), words, similarity), "remaining")
+    last = alike(left, sets_of(left))
+    if not last.isEmpty():
+        star = components(star.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+    passing.drop()
+    linked.drop()
+    return star
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ FALLBACK = "file:///tmp/checkpoints"
 #: Column of numbered(): no table of ours has it.
 RID = "__rid"
 FILE, BLOCK = "__file", "__block"
+#: Spark's setting for deleting a query's shuffle files when it ends, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Seeds tried for a hash that tells the files apart.
 SEEDS = 16
 
@@ -27,12 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(named or FALLBACK).rstrip('/')}/ledgerline-{spark.sparkContext.applicationId}"
 
 
+def _written(df: DataFrame, name: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: later stages survive lost executors without redoing it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries that run within leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+class Passing:
+    """Tables saved for a while: their shuffle files go when they are written, they themselves at drop()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        with tidy(self.spark):
+            self.paths.append(_written(df, name))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        """Deletes them; nothing that is run later may read them."""
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
 
 
 def _plain_scan(df: DataFrame) -> bool:
@@ -91,6 +128,9 @@ def in_splits(df: DataFrame, name: str, order: list) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Deletes what saved() has written for this application; call it when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
