@@ -266,9 +266,10 @@ def meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(classes: DataFrame, chosen: range = range(FEW), coverings: tuple[int, int] | None = None) -> DataFrame:
-    """a, b, d: pairs of classes (cls, wide) that meet at an anchor of the chosen tables and differ in d <= NEAR of 128 bits, enough of them to join all that do; b is the smaller."""
+    """a, b, d: pairs of classes (cls, wide; or with root, the component they are known to be in) of different components that meet at an anchor of the
+    chosen tables and differ in d <= NEAR of 128 bits, enough of them to join all that do; b is the smaller."""
     coverings = coverings or tables_for(classes.count())
-    names = ("key", "cls", "fp", "fp2")
+    names = ("key", "cls", "root", "fp", "fp2")
 
     def spread(batches):
         tables = Tables(*coverings, chosen)
@@ -278,18 +279,18 @@ def candidates(classes: DataFrame, chosen: range = range(FEW), coverings: tuple[
                 wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(part.num_rows, WIDE // 8)
                 keys = tables.keys(wide)
                 fp = wide[:, :16].copy().view(np.int64)
-                each = (part.column("cls").to_numpy(), fp[:, 0], fp[:, 1])
+                each = (part.column("cls").to_numpy(), part.column("root").to_numpy(), fp[:, 0], fp[:, 1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, keys.shape[1])) for x in each)], names=list(names))
 
     def meet(batches):
         kept = [np.empty(0, np.int64)] * len(names)
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in names]
-            key, cls, *both = (np.concatenate(x) for x in zip(kept, new))
+            key, cls, root, *both = (np.concatenate(x) for x in zip(kept, new))
             fp = np.column_stack(both).view(np.uint64)
             old = len(kept[0])
             at, to = meetings(key, fp)
-            fresh = at >= old
+            fresh = (at >= old) & (root[at] != root[to])
             x, y = cls[at[fresh]], cls[to[fresh]]
             d = apart(fp, at[fresh], to[fresh])
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(d)], names=["a", "b", "d"])
@@ -298,9 +299,10 @@ def candidates(classes: DataFrame, chosen: range = range(FEW), coverings: tuple[
                 alone = np.ones(len(key), bool)
                 alone[at] = False
                 last &= alone
-            kept = [c[last] for c in (key, cls, *both)]
+            kept = [c[last] for c in (key, cls, root, *both)]
 
-    rows = classes.select("cls", "wide").mapInArrow(spread, "key long, cls long, fp long, fp2 long")
+    known = classes.select("cls", "wide", "root" if "root" in classes.columns else F.col("cls").alias("root"))
+    rows = known.mapInArrow(spread, "key long, cls long, root long, fp long, fp2 long")
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(meet, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
@@ -436,7 +438,7 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
     """node, root of all classes that links join. classes: cls, wide; texts: cls, text.
 
     First each class is verified with the nearest it met at anchors of FEW tables; then, of the pairs that these links leave in different components, every one;
-    then those that meet in the other tables; then
+    then those in different components that meet in the other tables, so that a group that is joined by then is not met in each of them again; then
     every other pair across components that can be so similar, whether its fingerprints met or not. Where the first tables find nothing, that
     comes at once.
     """
@@ -474,7 +476,8 @@ def similar(classes: DataFrame, texts: DataFrame, words: int, similarity: float)
         star = components(links)
         passing.drop()
         coverings = tables_for(classes.count())
-        met = [passing.saved(candidates(classes, range(k, min(k + AT_ONCE, coverings[1])), coverings), "candidates") for k in range(FEW, coverings[1], AT_ONCE)]
+        known = rooted(["cls", "wide"], star)
+        met = [passing.saved(candidates(known, range(k, min(k + AT_ONCE, coverings[1])), coverings), "candidates") for k in range(FEW, coverings[1], AT_ONCE)]
         pairs = passing.saved(reduce(DataFrame.union, met).select("a", "b").distinct(), "candidates")
         star = components(links.union(alike(pairs, sets_of(pairs))))
     passing.drop()

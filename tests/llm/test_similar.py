@@ -193,3 +193,15 @@ def test_few_tables_are_spread_at_once_and_nothing_stays(spark, monkeypatch):
     while files() - had and time.time() < until:
         time.sleep(0.1)
     assert files() <= had and counts.count() == len(rows) and spark.conf.get(storage.CLEANUP, None) == setting
+
+
+def test_classes_of_one_component_are_not_met_again(spark):
+    """A group of near copies that is known to be one component gives no pairs; two components of it only pairs across."""
+    r = np.random.default_rng(11)
+    centre = r.integers(0, 256, simhash.WIDE // 8).astype(np.uint8)
+    rows = [(i, bytearray(centre ^ np.packbits(r.random(simhash.WIDE) < 0.02))) for i in range(200)]
+    classes = spark.createDataFrame(rows, "cls long, wide binary")
+    assert simhash.candidates(classes).count() > 200
+    assert simhash.candidates(classes.selectExpr("cls", "wide", "0L as root")).count() == 0
+    across = simhash.candidates(classes.selectExpr("cls", "wide", "cls div 100 * 100 as root")).collect()
+    assert across and all(x.a >= 100 > x.b and x.d <= simhash.NEAR for x in across)
