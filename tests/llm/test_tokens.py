@@ -57,6 +57,31 @@ def test_word_encoder_equals_the_tokenizer(monkeypatch):
             assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == want
 
 
+def test_word_encoder_cuts_as_the_tokenizer_does():
+    r = random.Random(7)
+    pieces = [*"aZ09.,'`<|>×÷ÀÞßþÿøÖ_~^&", "'s", "'LL", "'re", "<|", "<|endoftext|>", "\u212a", "\u212b", "e\u0301", "\u0301", "ẞ", "¡", "\x00", "\x1c", "\x7f", "½", "²", "ª", "日", "🙂", "\u00a0", "\u200b", " ", "\n"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 9))) for _ in range(4000)] + ["<", "|", "a< |b", "<|", "É", "ÉÀ é×é"]
+    tokenizer, encoder = Tokenizer.from_file(WORD), WordEncoder(WORD)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for some in (slice(0, 2000), slice(1000, None)):
+        ids, counts = encoder.encode(pa.array(texts[some]))
+        assert [ids[e - c : e].tolist() for e, c in zip(np.cumsum(counts), counts)] == want[some]
+    for blank in ([], [""], [None, " "]):
+        ids, counts = encoder.encode(pa.array(blank, pa.string()))
+        assert not len(ids) and counts.tolist() == [0] * len(blank)
+
+
+def test_word_encoder_asks_the_model_once_for_each_part(monkeypatch):
+    asked = []
+    part = WordEncoder.part
+    monkeypatch.setattr(WordEncoder, "part", lambda self, text: asked.append(text) or part(self, text))
+    encoder = WordEncoder(WORD)
+    for texts in (["Straße straße, STRASSE!", "cat Cat CAT cat, (cat)"], ["cat. cat-cat 'cat' cat7"]):
+        encoder.encode(pa.array(texts))
+    assert asked.count("cat") == 2  # the second for the quoted word, which is encoded whole
+    assert asked.count("straße") == 1 and asked.count("7") == 1
+
+
 def greedy(word: bytes, vocabulary: set[bytes]):
     n = 0
     while word:
@@ -149,6 +174,17 @@ def test_slots_are_the_same_under_any_partitioning(spark):
     assert of(docs.repartition(5)) == want  # the table lies in order of doc_id
 
 
+def test_slots_are_dealt_in_one_pass_to_even_runs_of_shards(spark):
+    rows = materialise(documents(spark, ["word " * 300] * 40), WORD, seq_len=32, shard_rows=4, partitions=7)
+    assert "rangepartitioning" not in rows._jdf.queryExecution().executedPlan().toString()  # its bounds are sampled, by a job that reads all rows
+    parts = [[(r.slot, r.shard) for r in p] for p in rows.rdd.glom().collect()]
+    n = sum(map(len, parts))
+    assert n == 400 and len(parts) == 7
+    assert [s for p in parts for s, _ in p] == list(range(n))
+    shards = [sorted({k for _, k in p}) for p in parts]
+    assert [k for p in shards for k in p] == list(range(100)) and {len(p) for p in shards} == {14, 15}
+
+
 def test_shards_are_written_once_and_read_from_any_slot(spark, tmp_path):
     folder = f"file://{tmp_path}/order"
     rows = materialise(documents(spark, TEXTS + ["word " * 300], extra=True), WORD, seq_len=32, shard_rows=4)
